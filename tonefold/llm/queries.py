@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import mixing, quality
-from tonefold.llm.common import table, word_count, written
+from tonefold.llm import language, mixing, packing, quality
+from tonefold.llm.common import held_out, table, word_count, written
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of those that have one."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4)
+    model = language.fit(docs.filter(~out))
+    rows = language.with_language(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of up to 2048 ids."""
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
