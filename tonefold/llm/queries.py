@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import language, mixing, packing, quality
+from tonefold.llm import chat, language, lm, mixing, packing, quality
 from tonefold.llm.common import held_out, table, word_count, written
 
 
@@ -24,6 +24,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under add-one counts and under the log-bilinear model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer, counts = lm.train(docs.filter(~held_out("doc_id", 7)))
+    rows = lm.scored(docs, scorer, counts)
+    return rows.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, written, read again and parsed back; with one more that holds the template's own marks."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = written(chat.formatted(turns.unionByName(more)), "op5-chats")
+    return chat.digests(chat.read_back(chats))
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of up to 2048 ids."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -46,5 +63,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_score_texts, op5_format_chats, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
