@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import chat, language, lm, mixing, packing, quality
-from tonefold.llm.common import held_out, table, word_count, written
+from tonefold.llm import chat, language, lm, mixing, packing, quality, urls, warc
+from tonefold.llm.common import held_out, new_path, table, word_count, written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,6 +15,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: (host, path, verdict)
+URL_LISTS = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the lists, else by rules mined from the lists' verdicts and the labels."""
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    given = labels.select(F.col("doc_id").alias("page_id"), F.when(bad, F.lit(urls.BLOCK)).otherwise(F.lit(urls.ALLOW)).alias("verdict"))
+    return urls.judged(table(spark, sf_dir, "pages"), given, URL_LISTS).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three quarters of those that have one."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +53,15 @@ def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chats))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, read back and indexed in order of URL and time."""
+    path = new_path(spark, "op6-archives")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    runs = warc.read_runs(spark.read.format("binaryFile").load(path))
+    index = warc.merged_index(runs.drop("payload"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of up to 2048 ids."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -63,5 +84,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_score_texts, op5_format_chats, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
