@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import chat, language, lm, mixing, packing, quality, urls, warc
+from tonefold.llm import chat, dedup, language, lm, mixing, packing, quality, urls, warc
 from tonefold.llm.common import held_out, new_path, table, word_count, written
 
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 URL_LISTS = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the lists, else by rules mined from the lists' verdicts and the labels."""
     labels = table(spark, sf_dir, "labels")
@@ -84,5 +89,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
