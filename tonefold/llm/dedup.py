@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
     """cid, text, bits: for each class a text that has its set, found by the class's smallest doc_id, and the set's bit sketch."""
     wanted = nodes.select("doc_id", "cid", "f1")
-    rows = source.join(wanted, "doc_id")
+    rows = _likely(source, wanted).join(wanted, "doc_id")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +236,22 @@ def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
     return rows.select("cid", "f1", "text").mapInArrow(same, "cid long, text string, bits array<long>").dropDuplicates(["cid"])
 
 
+#: The bits of a map of ids, in words of 64: it takes 4 MB, whatever the number of ids.
+MAP_WORDS = 1 << 18
+
+
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(doc_id, ...) without most of those whose doc_id is not among wanted's, so that a join shuffles few others.
+
+    A map with a bit for each hashed id is broadcast: it has a fixed size, so that with very many ids it only lets more through.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_WORDS * 64))
+    word, bit = F.shiftright(spot, 6), F.pmod(spot, F.lit(64)).cast("int")
+    bits = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(bits), "word")
+    return marked.filter(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def _leader_pairs(members: DataFrame, nodes: DataFrame, order) -> DataFrame:
     """a, b: for each class the leader of another component that it meets in most buckets."""
     m = members.join(nodes.select("cid", "comp"), "cid")
