@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,6 +47,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 8 << 20) -> None:
+    """Sets the session's Arrow batches to `records` rows and `size` bytes at most.
+
+    Texts differ a thousandfold in length; by rows alone, a batch of long ones takes a worker's memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers live on, idle, beside the executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value computed once a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

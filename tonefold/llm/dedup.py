@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonefold.llm.common import byte_column, row_blocks, written
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, written
 
 SHINGLE = 5
 HALVES, ROWS = 10, 3
 PER_CENT = 85
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: One bit for each of so many further minhashes, for classes that meet others: the share of bits that
 #: differ estimates half the distance, with a deviation of 0.0165 in similarity at a link's limit.
 BITS = 1024
@@ -123,6 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     f[1, some] = np.add.reduceat(mixed(sets ^ _ODD[5]), starts).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (2 * HALVES)), pa.array(halves.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(f[0], mask=~some), pa.array(f[1], mask=~some), flat], ["doc_id", "n", "f1", "f2", "halves"])
+        give_back()
 
     return docs.mapInArrow(sketch, SKETCH)
 
@@ -144,6 +145,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> D
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
             either = np.fromiter(map(len, left), np.int64, len(both)) + np.fromiter(map(len, right), np.int64, len(both)) - both
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * both >= per_cent * either), pa.array(1 - both / np.maximum(either, 1))], ["a", "b", "linked", "distance"])
+        give_back()
 
     of = lambda side: texts.select(F.col("cid").alias(side), F.col("text").alias(f"text_{side}"))
     rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
@@ -178,6 +180,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     leader one row of each component. Texts without words link with nothing, nor do rows without an
     id (component_id null, kept true). Rows that share an id are documents of their own.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = written(sketches(source).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     linkable = rows.filter("n > 0 AND doc_id IS NOT NULL")
@@ -232,6 +235,7 @@ def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
                     bits[n > 0] = bit_sketches(sets, n[n > 0]).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays([here.column(0), here.column(2), flat], ["cid", "text", "bits"]).filter(pa.array(f == here.column(1).to_numpy()))
+        give_back()
 
     return rows.select("cid", "f1", "text").mapInArrow(same, "cid long, text string, bits array<long>").dropDuplicates(["cid"])
 
@@ -301,6 +305,7 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, pivots
             held.append(batch.slice(last))
         if held:
             yield from _passing(held, differ)
+        give_back()
 
     return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
 

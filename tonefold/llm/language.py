@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonefold.llm.common import byte_column, row_blocks
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks
 
 ORDER = 3
 #: Symbols: the commonest bytes of the training texts; all others share the last one.
 ALPHABET = 64
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 UNKNOWN = "und"
 
 #: A-Z become a-z, and every other ASCII character that is no letter becomes a space.
@@ -103,7 +103,10 @@ def gram_counts(rows: DataFrame, lang: str, text: str) -> DataFrame:
             n = np.bincount(where, np.concatenate([p[1] for p in parts]), minlength=len(grams)).astype(np.int64)
             if len(grams):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        held.clear()
+        give_back()
 
+    bounded_batches(rows.sparkSession)
     some = rows.select(F.col(lang).alias("lang"), padded(text).alias("text"))
     return some.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -117,7 +120,9 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: s
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most_texts / n))]), F.col(lang)) if sizes else F.lit(0.0)
+    if not sizes:
+        return Model([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0), np.float32))
+    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most_texts / n))]), F.col(lang))
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 24)) < rate * (1 << 24)
     counted = gram_counts(rows.filter(draw), lang, text).toArrow()
     languages = sorted(sizes)
@@ -188,6 +193,7 @@ def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     if not model.languages:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rate", T.DoubleType())])
 
@@ -198,6 +204,7 @@ def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         bits, sizes = m.code_lengths(data, offsets)
         best = bits.argmin(1)
         least = bits[np.arange(len(bits)), best]
+        give_back()
         score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
         return pa.StructArray.from_arrays([pa.array(m.languages, pa.string()).take(pa.array(best)), pa.array(score), pa.array(least / np.maximum(sizes, 1))], ["lang", "score", "rate"])
 

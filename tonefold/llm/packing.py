@@ -13,8 +13,10 @@ of remainders and one block of texts, and a lost task is run again alone, with o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,51 +24,66 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonefold.llm.common import byte_column, row_blocks
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks
 
 CAPACITY = 2048
 END_ID = 1
 WINDOW = 4096
 BLOCK = 1 << 21
+#: Words given to the tokenizer in one call, which bounds what its results take.
+LEARNT_AT_ONCE = 2_000
+#: Words that a worker remembers from one task to the next.
+KEPT_WORDS = 100_000
+MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordIds:
     """Ids of words by a tokenizer that drops white space, each word encoded once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts = np.zeros(1 << 14, np.int64)
 
+    def forget(self, keep: int) -> None:
+        """Keeps the words met first, among which are the common ones."""
+        self.rows = dict(islice(self.rows.items(), keep))
+        self.used = int(self.starts[len(self.rows)])
+        self.pool, self.starts = self.pool[: max(self.used, 1 << 16)].copy(), self.starts[: max(len(self.rows) + 1, 1 << 14)].copy()
+
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = len(self.rows), int(sizes.sum())
+        for k in range(0, len(words), LEARNT_AT_ONCE):
+            self._learn(words[k : k + LEARNT_AT_ONCE])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes the words as one text; where an id begins in it tells its word."""
+        plain = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        sizes = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(words))
+        n, total = len(self.rows), len(found)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(ids) + 1 > len(self.starts):
+        while n + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.pool[self.used : self.used + total] = [i for x in ids for i in x]
-        self.starts[n + 1 : n + len(ids) + 1] = self.used + np.cumsum(sizes)
-        self.rows.update(zip(words, range(n, n + len(ids))))
+        self.pool[self.used : self.used + total] = found.ids
+        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
+        self.rows.update(zip(words, range(n, n + len(words))))
         self.used += total
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each word)."""
         distinct = set(words)
-        new = [w for w in distinct if w not in self.rows]
+        new = list(distinct.difference(self.rows))
         if len(self.rows) + len(new) > self.most:
-            self.clear()
-            new = list(distinct)
+            self.forget(self.most // 2)
+            new = list(distinct.difference(self.rows))
         if new:
             self.learn(new)
         row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -86,13 +103,22 @@ def word_ids(path: str) -> WordIds:
     return _word_ids[path]
 
 
+def simplified(text: bytes) -> bytes:
+    """A text with the same ids and fewer distinct words.
+
+    The tokenizer lower-cases, and takes a run of marks after letters as a word of its own; so A-Z
+    become a-z and a comma or full stop between an ASCII letter and white space stands apart. Texts
+    that may hold a special token, whose case counts, stay as they are.
+    """
+    return text if b"<|" in text else MARK.sub(rb" \1", text.lower())
+
+
 def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids of a block of texts with END_ID after each, their offsets)."""
     words_of = word_ids(path)
     data, offsets = byte_column(texts)
     for a, b in row_blocks(offsets, BLOCK):
-        block = data[offsets[a] : offsets[b]].tobytes()
-        split = [block[offsets[i] - offsets[a] : offsets[i + 1] - offsets[a]].split() for i in range(a, b)]
+        split = [simplified(data[offsets[i] : offsets[i + 1]].tobytes()).split() for i in range(a, b)]
         ids, sizes = words_of.encode([w for x in split for w in x])
         counts = np.fromiter(map(len, split), np.int64, b - a)
         own = np.add.reduceat(np.append(sizes, 0), np.minimum(np.cumsum(counts) - counts, len(sizes))) if len(sizes) else np.zeros(b - a, np.int64)
@@ -213,6 +239,9 @@ def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield packer.taken()
         packer.finish()
         yield packer.taken()
+        word_ids(tokenizer).forget(KEPT_WORDS)
+        give_back()
 
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(pack, SCHEMA)
