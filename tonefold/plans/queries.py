@@ -180,8 +180,8 @@ def named() -> None:
     f("rename_counter", lambda x: G.counted(x).select("path", F.col("counter").cast("long").alias("counter")), "SELECT path, row_number() OVER (ORDER BY folder, path) - 1 AS counter FROM f")
     f("rename_alpha_counter", lambda x: G.counted(x).select("path", S.alpha_id(F.col("counter")).alias("id")),
         "SELECT path, CASE WHEN n < 17576 THEN chr((97 + n // 676)::INT) || chr((97 + n // 26 % 26)::INT) || chr((97 + n % 26)::INT) ELSE n::VARCHAR END AS id FROM (SELECT path, row_number() OVER (ORDER BY folder, path) - 1 AS n FROM f)")
-    note = F.concat(F.lit("take_"), F.element_at(F.array(*[F.lit(x) for x in ("c", "D#", "Gb", "a")]), (F.col("doc_id") % 4 + 1).cast("int")), (F.col("doc_id") % 7).cast("string"), F.lit("_x"))
-    f("note_to_midi", lambda x: x.select("path", G.note_to_midi(note).alias("name")),
+    note = lambda: F.concat(F.lit("take_"), F.element_at(F.array(*[F.lit(x) for x in ("c", "D#", "Gb", "a")]), (F.col("doc_id") % 4 + 1).cast("int")), (F.col("doc_id") % 7).cast("string"), F.lit("_x"))
+    f("note_to_midi", lambda x: x.select("path", G.note_to_midi(note()).alias("name")),
         "SELECT path, 'take_' || CASE doc_id % 4 WHEN 0 THEN (12 * (doc_id % 7 + 1))::VARCHAR WHEN 1 THEN (12 * (doc_id % 7 + 1) + 3)::VARCHAR WHEN 3 THEN (12 * (doc_id % 7 + 1) + 9)::VARCHAR ELSE 'Gb' || (doc_id % 7) END || '_x' AS name FROM f")
     c = lambda name, run, sql: add(name, lambda spark, d: run(V.table(spark, d, "part")), sql)
     c("snake_camel", lambda x: x.select("p_partkey", S.snake_case(F.col("p_type")).alias("snake"), S.camel_case(F.lower("p_type")).alias("camel")),
