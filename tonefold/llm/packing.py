@@ -32,8 +32,6 @@ WINDOW = 4096
 BLOCK = 1 << 21
 #: Words given to the tokenizer in one call, which bounds what its results take.
 LEARNT_AT_ONCE = 2_000
-#: Words that a worker remembers from one task to the next.
-KEPT_WORDS = 100_000
 MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -97,12 +95,16 @@ _word_ids: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, kept from task to task."""
+    """One for each task: an idle worker that kept it would hold memory beside the executor's other tasks."""
     if path not in _word_ids:
         _word_ids[path] = WordIds(path)
     return _word_ids[path]
 
 
+def _forget_words() -> None:
+    _word_ids.clear()
+
+
 def simplified(text: bytes) -> bytes:
     """A text with the same ids and fewer distinct words.
 
@@ -239,7 +241,7 @@ def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield packer.taken()
         packer.finish()
         yield packer.taken()
-        word_ids(tokenizer).forget(KEPT_WORDS)
+        _forget_words()
         give_back()
 
     bounded_batches(df.sparkSession)
