@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import chat, dedup, language, lm, mixing, packing, quality, urls, warc
+from tonefold.llm import chat, dedup, language, lm, media, mixing, packing, quality, urls, warc
 from tonefold.llm.common import held_out, new_path, table, word_count, written
 
 
@@ -67,6 +67,12 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited copies among the embeddings, each drawn as tiles of grey: no table has images."""
+    images = media.tiled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.edited_copies(images).withColumnRenamed("image_id", "vec_id")
+
+
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of up to 2048 ids."""
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -89,5 +95,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op7_media_copies, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
