@@ -30,6 +30,8 @@ CAPACITY = 2048
 END_ID = 1
 WINDOW = 4096
 BLOCK = 1 << 21
+#: Words whose ids a worker remembers from one task to the next.
+WORDS_KEPT = 200_000
 #: Words given to the tokenizer in one call, which bounds what its results take.
 LEARNT_AT_ONCE = 2_000
 MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
@@ -95,14 +97,17 @@ _word_ids: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each task: an idle worker that kept it would hold memory beside the executor's other tasks."""
     if path not in _word_ids:
         _word_ids[path] = WordIds(path)
     return _word_ids[path]
 
 
-def _forget_words() -> None:
-    _word_ids.clear()
+def _rest(path: str, words_kept: int) -> None:
+    """Between tasks a worker keeps so many words, and with none no tokenizer: it holds memory beside the executor's other tasks."""
+    if not words_kept:
+        _word_ids.clear()
+    elif path in _word_ids:
+        _word_ids[path].forget(words_kept)
 
 
 def simplified(text: bytes) -> bytes:
@@ -219,13 +224,14 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, words_kept: int = WORDS_KEPT) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids by `tokenizer` (a file that the executors have) and END_ID; a
     null or empty text is END_ID alone, and a repeated row is a document of its own. Each id is in
     one piece. Sequences hold `capacity` ids, or at a partition's end a lower power of two, or a
-    sum short of capacity where capacity is no power of two.
+    sum short of capacity where capacity is no power of two. `words_kept` words stay in a worker's
+    memory between tasks, which spares encoding them again and changes no result.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,7 @@ def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield packer.taken()
         packer.finish()
         yield packer.taken()
-        _forget_words()
+        _rest(tokenizer, words_kept)
         give_back()
 
     bounded_batches(df.sparkSession)
