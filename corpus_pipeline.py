@@ -45,8 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
-    return packing.packed(docs, tokenizer_path())
+    """The pieces of the training sequences; workers, which the other stages use too, keep nothing between tasks."""
+    return packing.packed(docs, tokenizer_path(), words_kept=0)
 
 
 STAGES = [("language_id", language_stage), ("quality_rules", quality_stage), ("minhash_dedup", dedup_stage), ("mix_sources", mixing_stage), ("pack_sequences", packing_stage)]
