@@ -114,7 +114,7 @@ def neighbours() -> None:
     pick = lambda df: df.select("path", "channel", "frame", r6("deviation").alias("deviation"))
     on_signals("detect_pops", lambda df: pick(O.pops(df, 2)), "," + d2.format("") + out)
     on_signals("detect_pops_zero_only", lambda df: pick(O.pops(df, 2, True)), "," + d2.format(" AND abs(before) <= 1e-4") + out)
-    on_signals("pop_repair", lambda df: samples(O.repair_pops(df, O.pops(df, 2).filter("frame % 8 = 0"))), "," + d2.format("") + """, x AS (SELECT DISTINCT path, frame - 1 AS frame FROM b WHERE frame % 8 = 0),
+    on_signals("pop_repair", lambda df: samples(O.repair_pops(df, O.pops(df, 2))), "," + d2.format("") + """, x AS (SELECT DISTINCT path, frame - 1 AS frame FROM b),
         n AS (SELECT *, lag(value, 2) OVER w AS m2, lag(value, 1) OVER w AS m1, lead(value, 1) OVER w AS p1, lead(value, 2) OVER w AS p2 FROM e WINDOW w AS (PARTITION BY path, channel ORDER BY frame))
         SELECT n.path, n.frame, channel, round(CASE WHEN x.frame IS NOT NULL AND n.frame >= 2 AND n.frame < nf - 2 THEN m1 + (((p2 - m2 - 3 * p1 + 3 * m1) * 0.5 + 3 * (p1 + m2 - 2 * m1)) * 0.5 - (p2 + 2 * m2 - 6 * p1 + 3 * m1)) * 0.5 / 6 ELSE value END, 6) + 0.0 AS value
         FROM n LEFT JOIN x ON n.path = x.path AND n.frame = x.frame""")
@@ -153,8 +153,8 @@ def grouped() -> None:
         f"WITH {V.TAKES_SQL} SELECT t.path, t.set_key, a.path AS authority FROM t JOIN (SELECT set_key, min(path) AS path FROM t WHERE lang = 'en' GROUP BY set_key) a ON a.set_key = t.set_key")
     add("authority_file", lambda spark, d: G.sample_sets(V.takes(spark, d), "(.*)", "take1-en").select("path", "set_key", "authority"),
         f"WITH {V.TAKES_SQL} SELECT path, '*' AS set_key, (SELECT min(path) FROM t WHERE stem = 'take1-en') AS authority FROM t")
-    add("set_mismatch_anti", lambda spark, d: G.sets_without_authority(V.takes(spark, d).filter("id % 3 <> 0"), "take[0-9]+-([a-z]+)", "es"),
-        f"WITH {V.TAKES_SQL} SELECT DISTINCT set_key FROM t WHERE id % 3 <> 0 AND set_key NOT IN (SELECT set_key FROM t WHERE lang = 'es' AND id % 3 <> 0)")
+    add("set_mismatch_anti", lambda spark, d: G.sets_without_authority(V.takes(spark, d, 500), "take[0-9]+-([a-z]+)", "es"),
+        f"WITH {V.TAKES_SQL.replace('% 50 ', '% 500 ')} SELECT DISTINCT set_key FROM t WHERE set_key NOT IN (SELECT set_key FROM t WHERE lang = 'es')")
     midi = "m AS (SELECT n AS note, round(440 * pow(2, (n - 69) / 12.0), 2) AS p FROM (SELECT unnest(range(128)) AS n))"
     hz = "p_retailprice * 4"
     add("nearest_midi", lambda spark, d: V.table(spark, d, "part").select("p_partkey", S.nearest_note(F.col("p_retailprice") * 4).cast("long").alias("note"), S.note_name(S.nearest_note(F.col("p_retailprice") * 4)).alias("name")),
@@ -199,13 +199,13 @@ def nested() -> None:
     on_regions("md_reverse", lambda: G.reversed_items(F.col("regions"), F.lit(100)), "100 - s - n AS start_frame, n AS num_frames FROM g")
 
     def entries(spark: SparkSession, d: str) -> DataFrame:
-        return V.table(spark, d, "lineitem").filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("path"), F.col("l_shipdate").cast("date").cast("string").alias("metadata"), F.col("l_linenumber").alias("line"))
+        return V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_shipdate").cast("date").cast("string").alias("metadata"), F.col("l_linenumber").alias("line"))
 
     def orders(spark: SparkSession, d: str) -> DataFrame:
         return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderpriority").alias("metadata"))
 
     add("import_by_path", lambda spark, d: G.imported(orders(spark, d), entries(spark, d)), """SELECT o_orderkey AS path, CASE WHEN m IS NULL THEN o_orderpriority ELSE m END AS metadata FROM orders
-        LEFT JOIN (SELECT l_orderkey, arg_max(l_shipdate::DATE::VARCHAR, {'l': l_linenumber, 'm': l_shipdate::DATE::VARCHAR}) AS m FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) ON l_orderkey = o_orderkey""")
+        LEFT JOIN (SELECT l_orderkey, arg_max(l_shipdate::DATE::VARCHAR, {'l': l_linenumber, 'm': l_shipdate::DATE::VARCHAR}) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
     add("import_broadcast", lambda spark, d: G.imported_for_all(orders(spark, d), entries(spark, d).filter("path = 3").orderBy("line", "metadata").limit(1)), """SELECT o_orderkey AS path,
         (SELECT arg_min(l_shipdate::DATE::VARCHAR, {'l': l_linenumber, 'm': l_shipdate::DATE::VARCHAR}) FROM lineitem WHERE l_orderkey = 3) AS metadata FROM orders""")
 

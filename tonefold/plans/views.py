@@ -37,9 +37,9 @@ FILES_SQL = """f AS (SELECT source || '/' || CASE WHEN doc_id % 11 = 0 THEN '.'
         source AS folder, lang || '-' || doc_id AS stem, doc_id, lang FROM documents)"""
 
 
-def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as takes of a set: number modulo 50, then the language as microphone."""
-    d = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 50).alias("k"), "lang").agg(F.min("doc_id").alias("id"))
+def takes(spark: SparkSession, sf_dir: str, sets: int = 50) -> DataFrame:
+    """Documents as takes of a set: number modulo the number of sets, then the language as microphone."""
+    d = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % sets).alias("k"), "lang").agg(F.min("doc_id").alias("id"))
     stem = F.concat(F.lit("take"), F.col("k").cast("string"), F.lit("-"), F.col("lang"))
     return d.select(F.concat(stem, F.lit(".wav")).alias("path"), stem.alias("stem"), "id")
 
