@@ -103,6 +103,27 @@ def test_scores(spark, docs):
     assert lm.scored(docs, empty, none).count() == len(TEXTS)
 
 
+def test_scores_give_every_head_token_its_own_context(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [(k, f"{words[k % 40]} {words[(k + 1) % 40]} " * 12) for k in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    scorer, counts = lm.train(docs, head_size=41, classes=10, dims=8, copies=2)
+    v = len(scorer.layout.kind)
+    assert v == 42 and len(scorer.layout.size) == 10 and len(scorer.model.context) == len(scorer.model.inner) == v
+    for one, two in ((0, 0), (30, 31), (41, 1)):
+        assert np.isclose(np.exp(scorer.model.log_shares(scorer.layout, np.full(v, one), np.full(v, two), np.arange(v))).sum(), 1, atol=1e-4)
+    ask = spark.createDataFrame([(2 * k + j, f"{words[k]} {words[(k + d) % 40]}") for k in range(40) for j, d in enumerate((1, 20))], "doc_id long, text string")
+    got = [r.score for r in lm.scored(ask, scorer, counts).orderBy("doc_id").collect()]
+    assert sum(right > wrong + 0.1 for right, wrong in zip(got[::2], got[1::2])) >= 30
+
+
+def test_training_draws_by_the_count_of_triples():
+    layout = lm.Layout.of(np.array([1.0, 1, 5, 5]), 16)
+    start = lm.Bilinear.start(layout, 2)
+    moved = [np.abs(start.train(np.array([5, 6]), np.array([n, n]), layout, seed=1).context - start.context).sum() for n in (512, 51_200)]
+    assert moved[1] > 1.5 * moved[0]
+
+
 def test_chats(spark):
     said = r"\### Assistant: </turn> ok \h \e : é"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, "odd: role\n", None), (3, 0, None, "#"), (3, None, "assistant", ""), (None, 0, "user", "x"), (1, 1, "assistant", said)]
