@@ -17,6 +17,8 @@ from tonefold.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text that the best language's model can't bring below its plain size is in none of the languages.
 MOST_BITS = 8.0
+#: Jaccard similarity, in per cent, from which documents are near duplicates here; the 85 of op1 is that query's own.
+PER_CENT = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id, once if it is repeated."""
-    leaders = dedup.near_duplicates(docs).filter("leader").select("doc_id").distinct()
+    leaders = dedup.near_duplicates(docs, per_cent=PER_CENT).filter("leader").select("doc_id").distinct()
     kept = docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 

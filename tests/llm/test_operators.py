@@ -65,6 +65,25 @@ def test_near_duplicates_of_a_group_against_all_pairs(spark):
     assert got == {k: top(k) for k in range(120)}
 
 
+def test_pipeline_links_pairs_between_80_and_85_per_cent(spark):
+    import corpus_pipeline
+
+    assert dedup.Limit.of(85) == dedup.Limit(85, 10, 0.15000000000000002 + 1e-9, 77, 112) and dedup.Limit.of(80).halves == 14
+    rng, texts, least = np.random.default_rng(9), [], []
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 204)]
+        changed = [w if at not in (40, 90, 140, 170)[: k % 2 + 3] else "new" for at, w in enumerate(words)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        a, b = shingle_set(texts[-2][1]), shingle_set(texts[-1][1])
+        least.append(100 * len(a & b) / len(a | b))
+    assert 80 <= min(least) < 85 < max(least)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {p: {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, per_cent=p).collect()} for p in (80, 85)}
+    assert got[80] == {i: i // 2 * 2 for i, _ in texts}
+    assert got[85] == {i: i // 2 * 2 if least[i // 2] >= 85 else i for i, _ in texts}
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect()) == list(range(0, 600, 2))
+
+
 def test_url_lists_and_rules(spark):
     rows = [(1, "http://A.example.com/en/1?x#y"), (2, "https://www.example.com/en/2"), (3, "x://b.net/es/"), (4, None), (5, "no scheme"), (6, "http://net"), (7, "http://notcom/"), (8, ""), (8, "")]
     pages = spark.createDataFrame(rows, "page_id long, url string")

@@ -1,9 +1,10 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
 A document is its set of distinct five-word shingles. Two small collections of band hashes are
-made, HALVES in each and ROWS minhashes to a band; a table's key joins one band of the first
-with one of the second, so 2 * HALVES * ROWS minhashes give HALVES ** 2 tables. A pair of
-similarity s meets in a table with chance (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9998 at 0.85.
+made, `halves` in each and ROWS minhashes to a band; a table's key joins one band of the first
+with one of the second, so 2 * halves * ROWS minhashes give halves ** 2 tables. A pair of
+similarity s meets in a table with chance (1 - (1 - s ** ROWS) ** halves) ** 2: 0.9998 at 0.85
+with 10 halves. A lower limit has as many halves as keep that chance at the limit: 14 at 0.80.
 
 Exact copies (equal sets) are one class from the start, and only classes are banded. What
 meets is confirmed on full sets. No bucket is multiplied out: in a round, each class is
@@ -14,7 +15,9 @@ that could link, each in one table only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,42 @@ from pyspark.sql import functions as F
 from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, written
 
 SHINGLE = 5
-HALVES, ROWS = 10, 3
+ROWS, MOST_HALVES = 3, 32
 PER_CENT = 85
+#: A pair at the limit meets no band of a collection with at most this chance.
+MISSED = 8e-5
 BLOCK = 1 << 18
 #: One bit for each of so many further minhashes, for classes that meet others: the share of bits that
-#: differ estimates half the distance, with a deviation of 0.0165 in similarity at a link's limit.
+#: differ estimates half the distance, with a deviation of 0.0165 in similarity at a limit of 0.85 (0.019 at 0.80).
 BITS = 1024
-#: Bits that may differ: as many as a pair at the limit has on average, and 4.2 deviations more (one such pair in 75,000 has more).
-ALIKE, LEAST_ALIKE = 77, 112
+
+
+@dataclass(frozen=True)
+class Limit:
+    """What follows from the similarity that links: bands, the distance of a link, and bits that may differ.
+
+    alike is as many bits as a pair at the limit has on average, least_alike 4.2 deviations more
+    (one such pair in 75,000 has more).
+    """
+
+    per_cent: int
+    halves: int
+    far: float
+    alike: int
+    least_alike: int
+
+    @staticmethod
+    def of(per_cent: int) -> Limit:
+        s, bit = per_cent / 100, (1 - per_cent / 100) / 2
+        halves = min(MOST_HALVES, math.ceil(math.log(MISSED) / math.log(1 - s**ROWS))) if s < 1 else 1
+        return Limit(per_cent, halves, 1 - s + 1e-9, math.ceil(BITS * bit), int(BITS * bit + 4.2 * math.sqrt(BITS * bit * (1 - bit))))
+
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 #: Odd multipliers drawn from a fixed seed; the first is the base of the words' polynomial.
-_ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, 2 * HALVES * ROWS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, 2 * MOST_HALVES * ROWS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,11 +105,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     return (np.concatenate(parts) if parts else total), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def half_bands(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(texts, 2 * HALVES) band hashes; sizes are all over 0."""
+def half_bands(sets: np.ndarray, sizes: np.ndarray, halves: int) -> np.ndarray:
+    """(texts, 2 * halves) band hashes; sizes are all over 0."""
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), 2 * HALVES), np.uint64)
-    for band in range(2 * HALVES):
+    out = np.empty((len(sizes), 2 * halves), np.uint64)
+    for band in range(2 * halves):
         key = np.full(len(sizes), band + 1, np.uint64)
         for row in range(ROWS):
             key = mixed(key ^ np.minimum.reduceat(sets * _ODD[2 + band * ROWS + row], starts))
@@ -105,7 +130,7 @@ def bit_sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, n long, f1 long, f2 long, halves array<long>"
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, halves: int) -> DataFrame:
     """doc_id, size of the set, two hashes of the set (null if empty), its half bands, for docs(doc_id, text)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,21 +139,21 @@ def sketches(docs: DataFrame) -> DataFrame:
             for a, b in row_blocks(offsets, BLOCK):
                 sets, n = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 some = n > 0
-                halves = np.zeros((b - a, 2 * HALVES), np.int64)
+                bands = np.zeros((b - a, 2 * halves), np.int64)
                 f = np.zeros((2, b - a), np.int64)
                 if some.any():
                     starts = (np.cumsum(n) - n)[some]
-                    halves[some] = half_bands(sets, n[some]).view(np.int64)
+                    bands[some] = half_bands(sets, n[some], halves).view(np.int64)
                     f[0, some] = np.add.reduceat(mixed(sets), starts).view(np.int64)
                     f[1, some] = np.add.reduceat(mixed(sets ^ _ODD[5]), starts).view(np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (2 * HALVES)), pa.array(halves.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (2 * halves)), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(f[0], mask=~some), pa.array(f[1], mask=~some), flat], ["doc_id", "n", "f1", "f2", "halves"])
         give_back()
 
     return docs.mapInArrow(sketch, SKETCH)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
     """a, b, linked, distance for pairs(a, b), on the full sets of texts(cid, text)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,21 +198,22 @@ def relabelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return written(nodes.join(new, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"), "classes")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, leader: one row for each row of docs.
 
     component_id is the smallest doc_id that links lead to; kept marks the document of that id, and
-    leader one row of each component. Texts without words link with nothing, nor do rows without an
+    leader one row of each component. Sets link at a Jaccard similarity of per_cent or more. Texts without words link with nothing, nor do rows without an
     id (component_id null, kept true). Rows that share an id are documents of their own.
     """
+    limit = Limit.of(per_cent)
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = written(sketches(source).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    rows = written(sketches(source, limit.halves).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     linkable = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("n", "f1", "f2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
     classes = written(classes, "classes")
-    table = F.sequence(F.lit(0), F.lit(HALVES * HALVES - 1))
-    key = F.transform(table, lambda t: F.xxhash64(t, F.get("halves", F.floor(t / HALVES).cast("int")), F.get("halves", HALVES + t % HALVES)))
+    table = F.sequence(F.lit(0), F.lit(limit.halves**2 - 1))
+    key = F.transform(table, lambda t: F.xxhash64(t, F.get("halves", F.floor(t / limit.halves).cast("int")), F.get("halves", limit.halves + t % limit.halves)))
     keys = classes.select("cid", F.posexplode(key).alias("t", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     members = written(keys.join(shared, "key"), "members")
@@ -198,13 +224,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     pivots = None
     for order in (F.col("cid"), F.xxhash64("cid")):
         pairs = _leader_pairs(members, nodes, order)
-        found = written(confirmed(pairs, texts), "links")
+        found = written(confirmed(pairs, texts, per_cent), "links")
         if pivots is None:
             pivots = found.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "distance")
         nodes = _joined(nodes, found)
-    for differ in (ALIKE, LEAST_ALIKE):
-        rest = written(_open_pairs(members, nodes, classes, pivots, texts, differ), "pairs")
-        nodes = _joined(nodes, written(confirmed(rest, texts), "links"))
+    for differ in (limit.alike, limit.least_alike):
+        rest = written(_open_pairs(members, nodes, classes, pivots, texts, limit, differ), "pairs")
+        nodes = _joined(nodes, written(confirmed(rest, texts, per_cent), "links"))
 
     own = classes.join(nodes.select("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min_by("cid", F.struct("doc_id", "cid")).alias("leader"))
@@ -269,10 +295,9 @@ def _leader_pairs(members: DataFrame, nodes: DataFrame, order) -> DataFrame:
 SIDE = 512
 #: Pairs looked at together.
 AT_ONCE = 200_000
-FAR = (100 - PER_CENT) / 100 + 1e-9
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, pivots: DataFrame, texts: DataFrame, differ: int) -> DataFrame:
+def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, pivots: DataFrame, texts: DataFrame, limit: Limit, differ: int) -> DataFrame:
     """a, b: all pairs that meet, lie in different components and could be similar enough, each once.
 
     A bucket's members are dealt into blocks of about SIDE, and each two blocks are compared apart,
@@ -297,14 +322,14 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame, pivots
             new = _group_starts(batch)
             last = int(new[-1])
             if held and not _same_group(held[-1], batch):
-                yield from _passing(held, differ)
+                yield from _passing(held, limit, differ)
                 held = []
             if last:
-                yield from _passing([*held, batch.slice(0, last)], differ)
+                yield from _passing([*held, batch.slice(0, last)], limit, differ)
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield from _passing(held, differ)
+            yield from _passing(held, limit, differ)
         give_back()
 
     return m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long")
@@ -319,22 +344,22 @@ def _same_group(one: pa.RecordBatch, two: pa.RecordBatch) -> bool:
     return all(one.column(k)[-1] == two.column(k)[0] for k in range(3))
 
 
-def _passing(batches: list[pa.RecordBatch], differ: int) -> Iterator[pa.RecordBatch]:
+def _passing(batches: list[pa.RecordBatch], limit: Limit, differ: int) -> Iterator[pa.RecordBatch]:
     """The pairs of whole groups that may be links."""
     rows = pa.Table.from_batches(batches).combine_chunks()
     starts = np.append(_group_starts(rows), rows.num_rows)
     i, j, block, t, cid, comp, n, pivot, distance = (rows.column(k).to_numpy() for k in range(1, 10))
-    halves = rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * HALVES)
+    halves = rows["halves"].combine_chunks().flatten().to_numpy().reshape(-1, 2 * limit.halves)
     bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
 
     def passing(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PER_CENT)
-        ok &= (pivot[p] != pivot[q]) | (pivot[p] < 0) | (np.abs(distance[p] - distance[q]) <= FAR)
+        ok = (comp[p] != comp[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * limit.per_cent)
+        ok &= (pivot[p] != pivot[q]) | (pivot[p] < 0) | (np.abs(distance[p] - distance[q]) <= limit.far)
         p, q = p[ok], q[ok]
         ok = np.bitwise_count(bits[p] ^ bits[q]).sum(1) <= differ
         p, q = p[ok], q[ok]
         hit = halves[p] == halves[q]
-        ok = hit[:, :HALVES].argmax(1) * HALVES + hit[:, HALVES:].argmax(1) == t[p]
+        ok = hit[:, : limit.halves].argmax(1) * limit.halves + hit[:, limit.halves :].argmax(1) == t[p]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[p], cid[q])[ok]), pa.array(np.maximum(cid[p], cid[q])[ok])], ["a", "b"])
 
     held, size = [], 0
