@@ -62,11 +62,18 @@ def renamed_by_regex(stem: Column, pattern: str, to: str) -> Column:
 
 
 def note_to_midi(stem: Column, zero_octave: int = -1) -> Column:
-    """The first note name that stands alone becomes its number, everywhere it stands in the name. Sharps of E and B are no notes."""
-    note = F.regexp_extract(stem, r"(?:^|[^A-Za-z0-9])([A-Ga-g]#?-?[0-9])(?:$|[^A-Za-z0-9])", 1)
-    base = F.element_at(F.create_map(*[F.lit(x) for k, v in (("c", 0), ("d", 2), ("e", 4), ("f", 5), ("g", 7), ("a", 9), ("b", 11)) for x in (k, v)]), F.lower(F.substring(note, 1, 1)))
-    number = base + F.when(note.contains("#"), 1).otherwise(0) + 12 * (F.regexp_extract(note, r"(-?[0-9])$", 1).cast("int") - zero_octave)
-    return F.when((note != "") & ~F.lower(note).rlike("^[eb]#"), F.replace(stem, note, number.cast("string"))).otherwise(stem)
+    """The first note name that stands alone becomes its number, everywhere it stands in the name, until none is left. Sharps of E and B are no notes.
+
+    Each exchange takes a letter from A to G away, so that as many steps as there are of them are enough.
+    """
+    base = F.create_map(*[F.lit(x) for k, v in (("c", 0), ("d", 2), ("e", 4), ("f", 5), ("g", 7), ("a", 9), ("b", 11)) for x in (k, v)])
+
+    def exchanged(name: Column, _: Column) -> Column:
+        note = F.regexp_extract(name, r"(?<![A-Za-z0-9])((?:[ACDFGacdfg]#?|[BEbe])-?[0-9])(?![A-Za-z0-9])", 1)
+        number = F.element_at(base, F.lower(F.substring(note, 1, 1))) + F.when(note.contains("#"), 1).otherwise(0) + 12 * (F.regexp_extract(note, r"(-?[0-9])$", 1).cast("int") - zero_octave)
+        return F.when(note != "", F.replace(name, note, number.cast("string"))).otherwise(name)
+
+    return F.aggregate(F.regexp_extract_all(stem, F.lit("[A-Ga-g]"), 0), stem, exchanged)
 
 
 def counted(files: DataFrame, folder: str = "folder", path: str = "path") -> DataFrame:
