@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +111,14 @@ def row_blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield at, min(to, n)
         at = to
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(place of each word of all texts in a row, the distinct words, number of words of each text)."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate(([0], np.cumsum(real)))
+    offsets = lists.offsets.to_numpy()
+    found = flat.filter(pa.array(real)).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary, np.diff(before[offsets - offsets[0]])

@@ -13,129 +13,124 @@ of remainders and one block of texts, and a lost task is run again alone, with o
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, split_words
 
 CAPACITY = 2048
 END_ID = 1
 WINDOW = 4096
-BLOCK = 1 << 21
-#: Words whose ids a worker remembers from one task to the next.
-WORDS_KEPT = 200_000
+BLOCK = 1 << 23
+#: Words whose ids a task remembers at most.
+WORDS_HELD = 1_000_000
 #: Words given to the tokenizer in one call, which bounds what its results take.
 LEARNT_AT_ONCE = 2_000
-MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: ASCII marks but the apostrophe. A run of them after letters is a piece of its own to the tokenizer.
+MARKS = r"[!-&(-/:-@\[-`{-~]+"
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+
+
 class WordIds:
-    """Ids of words by a tokenizer that drops white space, each word encoded once while it is remembered."""
+    """Ids of words by a tokenizer that lower-cases and drops white space, each word encoded once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = WORDS_HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.rows: dict[bytes, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.model = self.tokenizer.model
+        self.known = pa.array([], pa.string())
+        self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the half that was met first, in which the common words are."""
+        self.known = pa.concat_arrays([self.known.slice(0, self.most // 2)])
+        self.starts = self.starts[: len(self.known) + 1].copy()
+        self.pool = self.pool[: self.starts[-1]].copy()
+
+    def learn(self, words: list[str]) -> None:
+        plain, others = [], []
+        for w in words:
+            (plain if w.isalpha() and w == w.lower() and (w.isascii() or max(w) < "\u0180") else others).append(w)
+        found = [self._letters(plain)] + [self._encoded(others[k : k + LEARNT_AT_ONCE]) for k in range(0, len(others), LEARNT_AT_ONCE)]
+        self.known = pa.concat_arrays([self.known, pa.array(plain, pa.string()), pa.array(others, pa.string())])
+        self.pool = np.concatenate([self.pool, *(ids for _, ids in found)])
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for n, _ in found]))))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-case Latin letters alone are one piece to the tokenizer, which its model takes as it is."""
+        sizes, ids, tokenize = [], [], self.model.tokenize
+        for w in words:
+            found = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS))
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(sizes, np.int64), np.array(ids, np.uint32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes the words as one text; where an id begins in it tells its word."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        return np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(words)), np.array(found.ids, np.uint32)
 
-    def forget(self, keep: int) -> None:
-        """Keeps the words met first, among which are the common ones."""
-        self.rows = dict(islice(self.rows.items(), keep))
-        self.used = int(self.starts[len(self.rows)])
-        self.pool, self.starts = self.pool[: max(self.used, 1 << 16)].copy(), self.starts[: max(len(self.rows) + 1, 1 << 14)].copy()
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The number of each of the distinct words, from which starts and pool have its ids."""
+        at = pc.index_in(words, value_set=self.known)
+        if new := at.null_count:
+            if len(self.known) + new > self.most:
+                self.forget()
+                at = pc.index_in(words, value_set=self.known)
+            self.learn(words.filter(at.is_null()).to_pylist())
+            at = pc.index_in(words, value_set=self.known)
+        return at.to_numpy().astype(np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), LEARNT_AT_ONCE):
-            self._learn(words[k : k + LEARNT_AT_ONCE])
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes the words as one text; where an id begins in it tells its word."""
-        plain = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
-        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-        sizes = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(words))
-        n, total = len(self.rows), len(found)
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.pool[self.used : self.used + total] = found.ids
-        self.starts[n + 1 : n + len(words) + 1] = self.used + np.cumsum(sizes)
-        self.rows.update(zip(words, range(n, n + len(words))))
-        self.used += total
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each word)."""
-        distinct = set(words)
-        new = list(distinct.difference(self.rows))
-        if len(self.rows) + len(new) > self.most:
-            self.forget(self.most // 2)
-            new = list(distinct.difference(self.rows))
-        if new:
-            self.learn(new)
-        row = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        sizes = self.starts[row + 1] - self.starts[row]
-        ends = np.cumsum(sizes)
-        where = np.repeat(self.starts[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.pool[where], sizes
-
-
-_word_ids: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    return _word_ids[path]
-
-
-def _rest(path: str, words_kept: int) -> None:
-    """Between tasks a worker keeps so many words, and with none no tokenizer: it holds memory beside the executor's other tasks."""
-    if not words_kept:
-        _word_ids.clear()
-    elif path in _word_ids:
-        _word_ids[path].forget(words_kept)
-
-
-def simplified(text: bytes) -> bytes:
-    """A text with the same ids and fewer distinct words.
-
-    The tokenizer lower-cases, and takes a run of marks after letters as a word of its own; so A-Z
-    become a-z and a comma or full stop between an ASCII letter and white space stands apart. Texts
-    that may hold a special token, whose case counts, stay as they are.
-    """
-    return text if b"<|" in text else MARK.sub(rb" \1", text.lower())
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids of a block of texts with END_ID after each, their offsets)."""
-    words_of = word_ids(path)
-    data, offsets = byte_column(texts)
+def encoded(texts: pa.Array, words_of: WordIds) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids of a block of texts with END_ID after each, their offsets).
+
+    The tokenizer lower-cases and takes a run of marks after letters as a word of its own; so A-Z become
+    a-z, and the marks after an ASCII letter at a word's end are looked up apart. Texts that may hold a
+    special token, whose case counts, stay as they are.
+    """
+    _, offsets = byte_column(texts)
     for a, b in row_blocks(offsets, BLOCK):
-        split = [simplified(data[offsets[i] : offsets[i + 1]].tobytes()).split() for i in range(a, b)]
-        ids, sizes = words_of.encode([w for x in split for w in x])
-        counts = np.fromiter(map(len, split), np.int64, b - a)
-        own = np.add.reduceat(np.append(sizes, 0), np.minimum(np.cumsum(counts) - counts, len(sizes))) if len(sizes) else np.zeros(b - a, np.int64)
-        own = np.where(counts > 0, own, 0)
-        at = np.concatenate(([0], np.cumsum(own + 1)))
-        out = np.full(at[-1], END_ID, np.uint32)
-        inside = np.ones(at[-1], bool)
-        inside[at[1:] - 1] = False
-        out[inside] = ids
-        yield a, out, at
+        block = texts.slice(a, b - a)
+        block = pc.if_else(pc.match_substring(block, "<|"), block, pc.ascii_lower(block))
+        code, words, counts = split_words(block)
+        marked = pc.and_not(pc.match_substring_regex(words, f"[a-z]{MARKS}$"), pc.match_substring(words, "<|"))
+        bare = pc.if_else(marked, pc.replace_substring_regex(words, f"{MARKS}$", ""), words)
+        mark = pc.if_else(marked, pc.replace_substring_regex(words, "^.*[a-z]", ""), pa.scalar(""))
+        both = pa.concat_arrays([bare, mark]).dictionary_encode()
+        place = words_of.places(both.dictionary)
+        # The ids of each distinct word, its mark's after its own, and at last END_ID.
+        row = place[both.indices.to_numpy()].reshape(2, -1).T
+        sizes = words_of.starts[row + 1] - words_of.starts[row]
+        pool = np.append(words_of.pool[_ranges(words_of.starts[row].ravel(), sizes.ravel())], np.uint32(END_ID))
+        sizes = np.append(sizes.sum(1), 1)
+        starts = np.cumsum(sizes) - sizes
+        unit = np.full(len(code) + len(counts), len(words))
+        unit[np.arange(len(code)) + np.repeat(np.arange(len(counts)), counts)] = code
+        total = np.concatenate(([0], np.cumsum(sizes[unit])))
+        yield a, pool[_ranges(starts[unit], sizes[unit])], total[np.concatenate(([0], np.cumsum(counts + 1)))]
 
 
 def best_fill(counts: np.ndarray, room: int) -> list[int]:
@@ -224,21 +219,21 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, words_kept: int = WORDS_KEPT) -> DataFrame:
+def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its text's ids by `tokenizer` (a file that the executors have) and END_ID; a
     null or empty text is END_ID alone, and a repeated row is a document of its own. Each id is in
     one piece. Sequences hold `capacity` ids, or at a partition's end a lower power of two, or a
-    sum short of capacity where capacity is no power of two. `words_kept` words stay in a worker's
-    memory between tasks, which spares encoding them again and changes no result.
+    sum short of capacity where capacity is no power of two. Nothing stays in a worker between tasks.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(TaskContext.get().partitionId() << 33, capacity)
+        packer, words_of = Packer(TaskContext.get().partitionId() << 33, capacity), WordIds(tokenizer)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, ids, at in encoded(batch.column(1), tokenizer):
+            for first, ids, at in encoded(batch.column(1), words_of):
+                at = at.tolist()
                 for i in range(len(at) - 1):
                     packer.add(names[first + i], ids[at[i] : at[i + 1]])
                 if packer.counts.sum() > WINDOW:
@@ -247,7 +242,7 @@ def packed(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     yield packer.taken()
         packer.finish()
         yield packer.taken()
-        _rest(tokenizer, words_kept)
+        del words_of
         give_back()
 
     bounded_batches(df.sparkSession)
