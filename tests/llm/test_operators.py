@@ -116,8 +116,8 @@ def test_scores(spark, docs):
     got = lm.scored(docs, scorer, counts).collect()
     want = sorted((len(w), sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w)) for _, t in TEXTS for w in [[*(t or "").encode().lower().split(), b""]])
     assert np.allclose(sorted((r.n_tokens, r.base_score) for r in got), want) and all(r.n_known == r.n_tokens and r.train_tokens == n for r in got)
-    first, second, norm = scorer.model.tables()
-    assert np.allclose(np.exp(first[3] + second[5] - norm[3, 5]).sum(), 1, atol=1e-3)
+    v = len(scorer.layout.kind)
+    assert np.isclose(np.exp(scorer.model.log_shares(scorer.layout, np.full(v, 3), np.full(v, 5), np.arange(v))).sum(), 1, atol=1e-4)
     empty, none = lm.train(docs.limit(0), classes=16, dims=4)
     assert lm.scored(docs, empty, none).count() == len(TEXTS)
 
@@ -136,11 +136,48 @@ def test_scores_give_every_head_token_its_own_context(spark):
     assert sum(right > wrong + 0.1 for right, wrong in zip(got[::2], got[1::2])) >= 30
 
 
-def test_training_draws_by_the_count_of_triples():
+def test_model_scores_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(rng.choice(words, rng.integers(0, 30), p=np.arange(60, 0, -1) / 1830))) for k in range(300)]
+    texts += [(300, "rare1 rare2 w0 " + "x" * 100), (301, None), (302, "W0 w1 unseen")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    scorer, counts = lm.train(docs.filter("doc_id < 302"), head_size=40, classes=12, dims=4)
+    seen = collections.Counter(w for i, t in texts if i < 302 for w in [*(t or "").lower().split(), ""])
+    s, m, head = scorer, scorer.model, [t.decode() for t in scorer.head.tokens.to_pylist()]
+    assert len(head) <= 40 and set(head) == {w for w in seen if 0 < len(w) <= 64 and seen[w] >= seen[head[-1]]}
+    number = {w: k + lm.FIRST for k, w in enumerate(head)} | {"": lm.END_CLASS}
+    outside = [w for w in seen if w not in number]
+
+    def soft(x):
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def log_probability(two, one, word):
+        w = number.get(word, lm.OTHER_CLASS)
+        p = np.append(m.context[one] * m.weight[0] + m.context[two] * m.weight[1], 1)
+        k = s.layout.kind[w]
+        out = np.log10(soft(m.top @ p)[k])
+        if s.layout.size[k] > 1:
+            out += np.log10(soft(m.inner[s.layout.start[k] : s.layout.start[k] + s.layout.size[k]] @ p)[w - s.layout.start[k]])
+        return out + (np.log10((seen[word] + 1) / (sum(seen[x] for x in outside) + len(outside) + 1)) if w == lm.OTHER_CLASS else 0)
+
+    got = {r.doc_id: r.score for r in lm.scored(docs, scorer, counts).collect()}
+    for i, t in texts:
+        row = [lm.END_CLASS] * 2
+        want = 0.0
+        for word in [*(t or "").lower().split(), ""]:
+            want += log_probability(row[-2], row[-1], word)
+            row.append(number.get(word, lm.OTHER_CLASS))
+        assert np.isclose(got[i], want, atol=1e-3), i
+
+
+def test_training_draws_a_share_of_the_tokens():
     layout = lm.Layout.of(np.array([1.0, 1, 5, 5]), 16)
-    start = lm.Bilinear.start(layout, 2)
-    moved = [np.abs(start.train(np.array([5, 6]), np.array([n, n]), layout, seed=1).context - start.context).sum() for n in (512, 51_200)]
-    assert moved[1] > 1.5 * moved[0]
+    trainer = lm.Trainer(lm.Bilinear.start(layout, 2), layout, [1])
+    for n in (1_000, 100_000):
+        before = trainer.drawn
+        trainer.feed(np.full(n, 2), np.full(n, 3), np.zeros(n, np.int64), 0.3)
+        assert abs(trainer.drawn - before - 0.3 * n) < 0.05 * n
 
 
 def test_chats(spark):
