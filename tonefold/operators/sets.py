@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonefold.functions import scalars as S
+from tonefold.session import checkpointed
 
 
 def excluded(files: DataFrame, *globs: str, path: str = "path") -> DataFrame:
@@ -25,13 +29,72 @@ def conflicts(files: DataFrame, path: str = "path") -> DataFrame:
     return files.groupBy(path).agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
 
 
+def first_group(pattern: str) -> tuple[str, str, str] | None:
+    """What stands before, in and after group 1, if it is a plain part of the whole: not nested, repeated, in an alternative or referred to."""
+    depth, at, opened, inside = 0, 0, None, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            if pattern[at + 1 : at + 2].isdigit():
+                return None
+            at += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            at += pattern[at + 1 : at + 2] in ("]", "^")
+        elif c == "|" and not depth:
+            return None
+        elif c == "(":
+            if opened is None and pattern[at + 1 : at + 2] != "?":
+                if depth:
+                    return None
+                opened = at
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth and opened is not None:
+                after = pattern[at + 1 :]
+                return None if after[:1] in ("?", "*", "+", "{") else (pattern[:opened], pattern[opened + 1 : at], after)
+        at += 1
+    return None
+
+
+def split_at_group(stem: Column, pattern: str) -> Column:
+    """{before, group, after} of group 1 of the whole-text match; null where the pattern doesn't match."""
+    if parts := first_group(pattern):
+        whole = S.whole("({})({})({})".format(*parts))
+        inner = re.compile(f"({parts[0]})({parts[1]})").groups
+        piece = lambda k: F.regexp_extract(stem, whole, k)
+        found = F.struct(piece(1).alias("before"), piece(1 + re.compile(parts[0]).groups + 1).alias("group"), piece(inner + 1).alias("after"))
+        return F.when(stem.rlike(whole), found)
+
+    @F.arrow_udf("before string, group string, after string")
+    def split(texts: pa.Array) -> pa.Array:
+        found = [t is not None and re.fullmatch(pattern, t) for t in texts.to_pylist()]
+        rows = [{"before": m.string[: max(0, m.start(1))], "group": m[1] or "", "after": m.string[max(0, m.end(1)) :]} if m else None for m in found]
+        return pa.array(rows, pa.struct([("before", pa.string()), ("group", pa.string()), ("after", pa.string())]))
+
+    return split(stem)
+
+
 def sample_sets(files: DataFrame, pattern: str, authority: str) -> DataFrame:
-    """files(path, stem) with set_key and the authority's path. The key is the stem with group 1 as `*`; the first path is the authority."""
-    g = S.regex_groups(F.col("stem"), pattern)
-    rows = files.filter(F.col("stem").rlike(S.whole(pattern))).withColumn("_g", g["1"])
-    rows = rows.withColumn("set_key", F.regexp_replace("stem", F.concat(F.lit(r"\Q"), F.col("_g"), F.lit(r"\E")), F.lit("*")))
-    lead = rows.filter(F.col("_g") == authority).groupBy("set_key").agg(F.min("path").alias("authority"))
-    return rows.drop("_g").join(lead, "set_key", "left")
+    """files(path, stem, ...) with set_key and the authority's path. The key is the stem with group 1's place taken by `*`; the first path is the authority."""
+    rows = files.withColumn("found", split_at_group(F.col("stem"), pattern)).filter("found IS NOT NULL")
+    rows = rows.withColumn("set_key", F.concat("found.before", F.lit("*"), "found.after"))
+    lead = rows.filter(F.col("found.group") == authority).groupBy("set_key").agg(F.min("path").alias("authority"))
+    return rows.drop("found").join(lead, "set_key", "left")
+
+
+def unmatched(files: DataFrame, pattern: str) -> DataFrame:
+    """The files that no set takes, each of which is an error."""
+    return files.filter(~F.col("stem").rlike(S.whole(pattern)))
+
+
+def uneven_sets(sets: DataFrame) -> DataFrame:
+    """set_key, shortest, longest of the sets(set_key, num_frames) whose signals differ in length."""
+    ends = sets.groupBy("set_key").agg(F.min("num_frames").alias("shortest"), F.max("num_frames").alias("longest"))
+    return ends.filter("shortest <> longest")
 
 
 def sets_without_authority(files: DataFrame, pattern: str, authority: str) -> DataFrame:
@@ -77,8 +140,16 @@ def note_to_midi(stem: Column, zero_octave: int = -1) -> Column:
 
 
 def counted(files: DataFrame, folder: str = "folder", path: str = "path") -> DataFrame:
-    """files with counter: 0, 1, ... by folder and path. One task numbers the files, of which only names are needed."""
-    return files.withColumn("counter", F.row_number().over(W.orderBy(folder, path)) - 1)
+    """files with counter: 0, 1, ... by folder and path.
+
+    Ranges of (folder, path) are sorted apart; a range's rows are numbered inside it, after the number of
+    rows in the ranges before, of which there is one row a range.
+    """
+    ranges = checkpointed(files.repartitionByRange(folder, path).sortWithinPartitions(folder, path))
+    rows = ranges.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(sizes.select("part", "start")), "part").withColumn("counter", F.col("start") + F.col("place")).drop("part", "place", "start")
 
 
 def folderised(files: DataFrame, pattern: str, to: str) -> DataFrame:

@@ -35,7 +35,7 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
 
 def on_signals(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None, channels: int = 1) -> None:
     """f over the signals; sql reads e(path, frame, channel, value, nf)."""
-    add(name, lambda spark, d: f(V.signals(spark, d, channels)), sql and f"WITH {V.signals_sql(channels)}{sql if sql[:1] == ',' else ' ' + sql}")
+    add(name, lambda spark, d: f(V.signals(spark, d, channels)), sql and f"WITH RECURSIVE {V.signals_sql(channels)}{sql if sql[:1] == ',' else ' ' + sql}")
 
 
 def fades() -> None:
@@ -58,7 +58,7 @@ def levels() -> None:
     on_signals("rms", lambda df: O.levels(df, "path").select("path", r6("rms").alias("rms")), "SELECT path, round(sqrt(avg(value * value)), 6) + 0.0 AS rms FROM e GROUP BY path")
     on_signals("peak", lambda df: O.levels(df, "path", "channel").select("path", "channel", r6("peak").alias("peak"), "peak_frame"),
         "SELECT path, channel, round(max(abs(value)), 6) + 0.0 AS peak, arg_max(frame, {'a': abs(value), 'f': -frame}) AS peak_frame FROM e GROUP BY ALL", 2)
-    on_signals("is_silent", lambda df: df.groupBy("path").agg((F.max(F.abs("value")) == 0).alias("silent")), "SELECT path, max(abs(value)) = 0 AS silent FROM e GROUP BY path")
+    on_signals("is_silent", O.silent, "SELECT path, max(abs(value)) = 0 AS silent FROM e GROUP BY path")
     amp = lambda db: 10 ** (db / 20)
     common = "SELECT path, frame, channel, round(value * g, 6) + 0.0 AS value FROM e, (SELECT {} AS g FROM {})"
     by_channel = "(SELECT channel, sum(value * value) AS ss, count(*) AS n FROM e GROUP BY channel)"
@@ -113,11 +113,18 @@ def neighbours() -> None:
     out = " SELECT path, channel, frame, round(deviation, 6) + 0.0 AS deviation FROM b"
     pick = lambda df: df.select("path", "channel", "frame", r6("deviation").alias("deviation"))
     on_signals("detect_pops", lambda df: pick(O.pops(df, 2)), "," + d2.format("") + out)
-    on_signals("detect_pops_zero_only", lambda df: pick(O.pops(df, 2, True)), "," + d2.format(" AND abs(before) <= 1e-4") + out)
-    on_signals("pop_repair", lambda df: samples(O.repair_pops(df, O.pops(df, 2))), "," + d2.format("") + """, x AS (SELECT DISTINCT path, frame - 1 AS frame FROM b),
-        n AS (SELECT *, lag(value, 2) OVER w AS m2, lag(value, 1) OVER w AS m1, lead(value, 1) OVER w AS p1, lead(value, 2) OVER w AS p2 FROM e WINDOW w AS (PARTITION BY path, channel ORDER BY frame))
-        SELECT n.path, n.frame, channel, round(CASE WHEN x.frame IS NOT NULL AND n.frame >= 2 AND n.frame < nf - 2 THEN m1 + (((p2 - m2 - 3 * p1 + 3 * m1) * 0.5 + 3 * (p1 + m2 - 2 * m1)) * 0.5 - (p2 + 2 * m2 - 6 * p1 + 3 * m1)) * 0.5 / 6 ELSE value END, 6) + 0.0 AS value
-        FROM n LEFT JOIN x ON n.path = x.path AND n.frame = x.frame""")
+    # Every third frame silent, so that some pops stand on a zero.
+    gated = """, z AS (SELECT path, frame, channel, CASE WHEN frame % 3 = 1 THEN 0 ELSE value END AS value, nf FROM e), """
+    on_signals("detect_pops_zero_only", lambda df: pick(O.pops(df.withColumn("value", F.when(F.col("frame") % 3 == 1, F.lit(0.0)).otherwise(F.col("value"))), 2, True)),
+        gated + d2.format(" AND abs(before) <= 1e-4").replace("FROM e WINDOW", "FROM z WINDOW") + out)
+    # Recursive over a path's repairs in order of frames, with the two repairs before.
+    on_signals("pop_repair", lambda df: samples(O.repair_pops(df, O.pops(df, 2))), "," + d2.format("") + """, x AS (SELECT DISTINCT path, frame - 1 AS f FROM b),
+        n AS (SELECT *, lag(value, 2) OVER w AS m2, lag(value, 1) OVER w AS m1, lead(value, 1) OVER w AS p1, lead(value, 2) OVER w AS p2 FROM e WINDOW w AS (PARTITION BY path, channel ORDER BY frame)),
+        k AS (SELECT n.*, row_number() OVER (PARTITION BY n.path ORDER BY frame) AS k FROM n JOIN x ON n.path = x.path AND n.frame = x.f WHERE frame >= 2 AND frame < nf - 2),
+        r AS (SELECT path, k, frame, (9 * (m1 + p1) - m2 - p2) / 16 AS v, -9::BIGINT AS frame1, 0::DOUBLE AS v1 FROM k WHERE k = 1
+            UNION ALL SELECT k.path, k.k, k.frame, (9 * (CASE WHEN r.frame = k.frame - 1 THEN r.v ELSE k.m1 END + k.p1)
+                - CASE WHEN r.frame = k.frame - 2 THEN r.v WHEN r.frame1 = k.frame - 2 THEN r.v1 ELSE k.m2 END - k.p2) / 16, r.frame, r.v FROM r JOIN k ON k.path = r.path AND k.k = r.k + 1)
+        SELECT e.path, e.frame, channel, round(coalesce(v, value), 6) + 0.0 AS value FROM e LEFT JOIN r ON r.path = e.path AND r.frame = e.frame""")
     on_signals("envelope", lambda df: O.envelope(df, 10).select("path", F.col("bucket").cast("long").alias("bucket"), r6("rms").alias("rms")), """SELECT path, frame // each AS bucket, round(sqrt(avg(m * m)), 6) + 0.0 AS rms
         FROM (SELECT path, frame, avg(value) AS m, greatest(1, any_value(nf) // 10) AS each FROM e GROUP BY path, frame) WHERE frame // each < 10 GROUP BY ALL""", 2)
     on_signals("chunk_grid", lambda df: O.chunk_levels(df, 0.25).select("path", F.col("chunk").cast("long").alias("chunk"), r6("at_seconds").alias("at_seconds"), r6("rms").alias("rms")), """, m AS (SELECT path, frame, sum(value) AS v FROM e GROUP BY ALL),
@@ -136,9 +143,32 @@ def neighbours() -> None:
             UNION ALL SELECT e.path, e.frame, {k["b0"]} * e.value + {k["b1"]} * f.x + {k["b2"]} * f.x1 - {k["a1"]} * f.y - {k["a2"]} * f.y1, f.y, e.value, f.x FROM f JOIN e ON e.path = f.path AND e.frame = f.frame + 1)
             SELECT path, frame, 0::BIGINT AS channel, round(y, 6) + 0.0 AS value FROM f"""
         add(f"{kind}pass", lambda spark, d, kind=kind: samples(O.pass_filter(V.signals(spark, d), kind, 8)), sql)
-    add("tune_samples", lambda spark, d: samples(O.resampled(V.signals(spark, d), 2 ** (-700 / 1200))))
-    add("tune_length", lambda spark, d: V.signals(spark, d).groupBy("path").agg((F.first("num_frames") * 2 ** (-700 / 1200)).cast("long").alias("frames")),
-        f"WITH {V.signals_sql(1)} SELECT path, trunc(any_value(nf) * {2 ** (-700 / 1200)!r})::BIGINT AS frames FROM e GROUP BY path")
+    ratio, windows = 2 ** (-700 / 1200), O.WINDOW
+    reach = O.TAPS / ratio
+    window = " + ".join(f"{w!r} * cos({k} * pi() * d / {reach!r})" for k, w in enumerate(windows))
+    add("tune_samples", lambda spark, d: samples(O.tuned(V.signals(spark, d), 700)), f"""WITH {V.signals_sql(1)}, o AS (SELECT path, value, o.frame AS frame, o.frame / {ratio!r} - e.frame AS d FROM e JOIN (SELECT unnest(range(64)) AS frame) o ON o.frame < trunc(nf * {ratio!r}))
+        SELECT path, frame, 0::BIGINT AS channel, round(sum(value * {ratio!r} * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * {ratio!r} * d) / (pi() * {ratio!r} * d) END * ({window})), 6) + 0.0 AS value FROM o GROUP BY path, frame""")
+    add("tune_length", lambda spark, d: O.tuned_length(V.signals(spark, d), 700), f"WITH {V.signals_sql(1)} SELECT path, trunc(any_value(nf) * {ratio!r})::BIGINT AS frames FROM e GROUP BY path")
+    # A set of one file is a search in its own frames only: no frame means no change.
+    on_signals("zcross_no_search", lambda df: samples(O.zcross_offset(df, "0")), "SELECT path, frame, channel, round(value, 6) + 0.0 AS value FROM e")
+    on_signals("xfade_loop_too_short", lambda df: samples(O.crossfade_loop(df, 1)), "SELECT path, frame, channel, round(value, 6) + 0.0 AS value FROM e")
+    for kind, b, a in FILTERS:
+        k = dict(zip(("b0", "b1", "b2", "a1", "a2"), map(repr, (*b, *a))))
+        sql = f"""WITH RECURSIVE {V.signals_sql(1)}, f AS (SELECT path, 0::BIGINT AS frame, value * {k["b0"]} AS y, 0::DOUBLE AS y1, value AS x, 0::DOUBLE AS x1 FROM e WHERE frame = 0
+            UNION ALL SELECT e.path, e.frame, {k["b0"]} * e.value + {k["b1"]} * f.x + {k["b2"]} * f.x1 - {k["a1"]} * f.y - {k["a2"]} * f.y1, f.y, e.value, f.x FROM f JOIN e ON e.path = f.path AND e.frame = f.frame + 1)
+            SELECT path, frame, 0::BIGINT AS channel, round(y, 6) + 0.0 AS value FROM f"""
+        add(f"filter_{kind}", lambda spark, d, kind=kind: samples(O.filtered(V.signals(spark, d), kind, 8, gain_db=6)), sql)
+
+
+#: Second-order filters at 8 of 64 Hz, Q 0.70710678118, 6 dB: kind, b and a as worked out apart from the operator.
+_W, _A = 2 * math.pi * 8 / 64, 10 ** (6 / 40)
+_C, _L = math.cos(_W), math.sin(_W) / (2 * 0.70710678118)
+FILTERS = [
+    ("band", (_L / (1 + _L), 0.0, -_L / (1 + _L)), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
+    ("notch", (1 / (1 + _L), -2 * _C / (1 + _L), 1 / (1 + _L)), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
+    ("all", ((1 - _L) / (1 + _L), -2 * _C / (1 + _L), 1.0), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
+    ("peak", ((1 + _L * _A) / (1 + _L / _A), -2 * _C / (1 + _L / _A), (1 - _L * _A) / (1 + _L / _A)), (-2 * _C / (1 + _L / _A), (1 - _L / _A) / (1 + _L / _A))),
+]
 
 
 def grouped() -> None:
@@ -149,12 +179,12 @@ def grouped() -> None:
         SELECT *, round(1 - (note - lower) / (upper - lower)::DOUBLE, 6) + 0.0 AS lower_weight, round(1 - (upper - note) / (upper - lower)::DOUBLE, 6) + 0.0 AS upper_weight FROM n""")
     add("blend_pairs", lambda spark, d: G.blend_plan(V.roots(spark, d), 1).select("folder", "lower_file", "upper_file").distinct(),
         f"WITH {V.ROOTS_SQL} SELECT folder, file AS lower_file, f2 AS upper_file FROM (SELECT *, lead(root) OVER w AS r2, lead(file) OVER w AS f2 FROM r WINDOW w AS (PARTITION BY folder ORDER BY root)) WHERE root + 1 < r2")
-    add("sample_sets_apply", lambda spark, d: G.sample_sets(V.takes(spark, d), "take[0-9]+-([a-z]+)", "en").filter("authority IS NOT NULL").select("path", "set_key", "authority"),
+    add("sample_sets_apply", lambda spark, d: G.sample_sets(V.takes(spark, d), "men-take[0-9]+-([a-z]+)", "en").filter("authority IS NOT NULL").select("path", "set_key", "authority"),
         f"WITH {V.TAKES_SQL} SELECT t.path, t.set_key, a.path AS authority FROM t JOIN (SELECT set_key, min(path) AS path FROM t WHERE lang = 'en' GROUP BY set_key) a ON a.set_key = t.set_key")
-    add("authority_file", lambda spark, d: G.sample_sets(V.takes(spark, d), "(.*)", "take1-en").select("path", "set_key", "authority"),
-        f"WITH {V.TAKES_SQL} SELECT path, '*' AS set_key, (SELECT min(path) FROM t WHERE stem = 'take1-en') AS authority FROM t")
-    add("set_mismatch_anti", lambda spark, d: G.sets_without_authority(V.takes(spark, d, 500), "take[0-9]+-([a-z]+)", "es"),
-        f"WITH {V.TAKES_SQL.replace('% 50 ', '% 500 ')} SELECT DISTINCT set_key FROM t WHERE set_key NOT IN (SELECT set_key FROM t WHERE lang = 'es')")
+    add("authority_file", lambda spark, d: G.sample_sets(V.takes(spark, d), "(.*)", "men-take1-en").select("path", "set_key", "authority"),
+        f"WITH {V.TAKES_SQL} SELECT path, '*' AS set_key, (SELECT min(path) FROM t WHERE stem = 'men-take1-en') AS authority FROM t")
+    add("set_mismatch_anti", lambda spark, d: G.sets_without_authority(V.takes(spark, d), "men-take[0-9]+-([a-z]+)", "es"),
+        f"WITH {V.TAKES_SQL} SELECT DISTINCT set_key FROM t WHERE set_key NOT IN (SELECT set_key FROM t WHERE lang = 'es')")
     midi = "m AS (SELECT n AS note, round(440 * pow(2, (n - 69) / 12.0), 2) AS p FROM (SELECT unnest(range(128)) AS n))"
     hz = "p_retailprice * 4"
     add("nearest_midi", lambda spark, d: V.table(spark, d, "part").select("p_partkey", S.nearest_note(F.col("p_retailprice") * 4).cast("long").alias("note"), S.note_name(S.nearest_note(F.col("p_retailprice") * 4)).alias("name")),
@@ -180,9 +210,11 @@ def named() -> None:
     f("rename_counter", lambda x: G.counted(x).select("path", F.col("counter").cast("long").alias("counter")), "SELECT path, row_number() OVER (ORDER BY folder, path) - 1 AS counter FROM f")
     f("rename_alpha_counter", lambda x: G.counted(x).select("path", S.alpha_id(F.col("counter")).alias("id")),
         "SELECT path, CASE WHEN n < 17576 THEN chr((97 + n // 676)::INT) || chr((97 + n // 26 % 26)::INT) || chr((97 + n % 26)::INT) ELSE n::VARCHAR END AS id FROM (SELECT path, row_number() OVER (ORDER BY folder, path) - 1 AS n FROM f)")
-    note = lambda: F.concat(F.lit("take_"), F.element_at(F.array(*[F.lit(x) for x in ("c", "D#", "Gb", "a")]), (F.col("doc_id") % 4 + 1).cast("int")), (F.col("doc_id") % 7).cast("string"), F.lit("_x"))
-    f("note_to_midi", lambda x: x.select("path", G.note_to_midi(note()).alias("name")),
-        "SELECT path, 'take_' || CASE doc_id % 4 WHEN 0 THEN (12 * (doc_id % 7 + 1))::VARCHAR WHEN 1 THEN (12 * (doc_id % 7 + 1) + 3)::VARCHAR WHEN 3 THEN (12 * (doc_id % 7 + 1) + 9)::VARCHAR ELSE 'Gb' || (doc_id % 7) END || '_x' AS name FROM f")
+    # Two notes in a name, the second one twice.
+    low = lambda: F.element_at(F.array(*[F.lit(x) for x in ("c", "D#", "Gb", "a")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    note = lambda: F.concat(F.lit("take_"), low(), (F.col("doc_id") % 7).cast("string"), F.lit("_F"), (F.col("doc_id") % 3).cast("string"), F.lit(" x-F"), (F.col("doc_id") % 3).cast("string"))
+    f("note_to_midi", lambda x: x.select("path", G.note_to_midi(note()).alias("name")), """SELECT path, 'take_' || CASE doc_id % 4 WHEN 0 THEN (12 * (doc_id % 7 + 1))::VARCHAR WHEN 1 THEN (12 * (doc_id % 7 + 1) + 3)::VARCHAR
+        WHEN 3 THEN (12 * (doc_id % 7 + 1) + 9)::VARCHAR ELSE 'Gb' || (doc_id % 7) END || '_' || (12 * (doc_id % 3 + 1) + 5) || ' x-' || (12 * (doc_id % 3 + 1) + 5) AS name FROM f""")
     c = lambda name, run, sql: add(name, lambda spark, d: run(V.table(spark, d, "part")), sql)
     c("snake_camel", lambda x: x.select("p_partkey", S.snake_case(F.col("p_type")).alias("snake"), S.camel_case(F.lower("p_type")).alias("camel")),
         "SELECT p_partkey, replace(replace(lower(p_type), ' ', '_'), '-', '_') AS snake, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(left(w, 1)) || w[2:]), '') AS camel FROM part")

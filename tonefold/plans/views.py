@@ -37,15 +37,15 @@ FILES_SQL = """f AS (SELECT source || '/' || CASE WHEN doc_id % 11 = 0 THEN '.'
         source AS folder, lang || '-' || doc_id AS stem, doc_id, lang FROM documents)"""
 
 
-def takes(spark: SparkSession, sf_dir: str, sets: int = 50) -> DataFrame:
-    """Documents as takes of a set: number modulo the number of sets, then the language as microphone."""
-    d = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % sets).alias("k"), "lang").agg(F.min("doc_id").alias("id"))
-    stem = F.concat(F.lit("take"), F.col("k").cast("string"), F.lit("-"), F.col("lang"))
-    return d.select(F.concat(stem, F.lit(".wav")).alias("path"), stem.alias("stem"), "id")
+def takes(spark: SparkSession, sf_dir: str, each: int = 8) -> DataFrame:
+    """Every document as a take: `each` neighbours are a set, the language is the microphone. The stem repeats it (`men`)."""
+    d = table(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("none")))
+    stem = F.concat(F.lit("men-take"), F.floor(F.col("doc_id") / each).cast("string"), F.lit("-"), F.col("lang"))
+    return d.select(F.concat(F.lit("room"), F.col("doc_id").cast("string"), F.lit("/"), stem, F.lit(".wav")).alias("path"), stem.alias("stem"), "lang")
 
 
-TAKES_SQL = """t AS (SELECT 'take' || k || '-' || lang || '.wav' AS path, 'take' || k || '-' || lang AS stem, 'take' || k || '-*' AS set_key, lang, id
-        FROM (SELECT doc_id % 50 AS k, lang, min(doc_id) AS id FROM documents GROUP BY ALL))"""
+TAKES_SQL = """t AS (SELECT 'room' || doc_id || '/men-take' || k || '-' || lang || '.wav' AS path, 'men-take' || k || '-' || lang AS stem, 'men-take' || k || '-*' AS set_key, lang
+        FROM (SELECT doc_id, doc_id // 8 AS k, coalesce(lang, 'none') AS lang FROM documents))"""
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
