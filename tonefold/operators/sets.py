@@ -174,7 +174,7 @@ def cut_end(items: Column, num_frames: Column, lengths: bool = True) -> Column:
     return F.filter(items, lambda x: x["start_frame"] + x["num_frames"] <= num_frames if lengths else x["start_frame"] < num_frames)
 
 
-def stretched(items: Column, factor: float, lengths: bool = True) -> Column:
+def stretched(items: Column, factor: float | Column, lengths: bool = True) -> Column:
     scale = lambda v: (v * factor).cast("bigint")
     return F.transform(items, lambda x: x.withField("start_frame", scale(x["start_frame"])).withField("num_frames", scale(x["num_frames"])) if lengths else x.withField("start_frame", scale(x["start_frame"])))
 

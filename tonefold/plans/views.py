@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -63,3 +64,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGIONS_SQL = "g AS (SELECT l_orderkey AS path, l_linenumber::BIGINT AS s, l_quantity::BIGINT AS n FROM lineitem)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with k: 1, 2, ... in each order, as its own line numbers repeat."""
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(order))
+
+
+LINES_SQL = "li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS k FROM lineitem)"
