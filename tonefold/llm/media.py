@@ -1,13 +1,13 @@
 """Local image descriptors: cropped and edited copies among grey images.
 
 Corners of several scales are turned upright by their intensity centroid and described by 256
-comparisons of pixels. Images that share 32 aligned bits of a description meet in a bucket of one of
-eight Hamming tables. A pair is a link if enough of its descriptions agree under one move, turn and
-scaling.
+comparisons of pixels. Images that share 48 aligned bits of a description meet in a bucket of one of
+five Hamming tables. A pair is a link if enough of its descriptions agree under one move, turn and
+scaling. Mirrored copies are not sought.
 
 Equal images are one class first. Classes are compared with a leader of their buckets and, as far
 as they still lie apart, in blocks of a bucket, so that a bucket is never expanded into pairs; only
-pairs of near descriptions leave a task.
+pairs of near descriptions leave a task, each from the first table that it meets in.
 """
 
 from __future__ import annotations
@@ -20,22 +20,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonefold.llm.common import bounded_batches, give_back, written
-from tonefold.llm.dedup import SIDE, _group_starts, _joined, _leader_pairs, _same_group
+from tonefold.llm.dedup import SIDE, _group_starts, _joined, _leader_pairs, _same_group, mixed
 
-#: Tests stay so near their corner; corners stay that far from an edge.
-RADIUS = 8
-SCALES = (1, 2, 4)
+#: Tests stay so near their corner; corners stay that far from an edge, and are the strongest among pixels so near.
+RADIUS, SPACING = 8, 3
+SCALES = (1.0, 2**0.5, 2.0, 2**1.5, 4.0)
 #: A corner's response against the image's strongest.
-QUALITY = 0.2
+QUALITY = 0.02
 #: Turns that the tests are prepared for.
 TURNS = 32
 WORDS = 4
+#: Bytes of a description that a table's key takes, and tables.
+KEY_BYTES, TABLES = 6, 5
 #: Bits of 256 that may differ in two descriptions of one place.
-MATCH_BITS = 40
-#: Corners that must agree under one movement, and how far off they may be: pixels and a part of the distance.
-LEAST_AGREEING, OFF_PIXELS, OFF_PART = 8, 2.0, 0.04
-#: Image bytes described together.
-BLOCK = 1 << 20
+MATCH_BITS = 60
+#: Corners that must agree under one movement; how far off they may be at first (pixels and a part of the distance), and after the movement is fitted to them.
+LEAST_AGREEING, OFF_PIXELS, OFF_PART, FITTED_PIXELS = 8, 2.0, 0.2, 2.5
+#: Rounds in which classes meet a leader of their buckets, at most; a round without a link is the last.
+ROUNDS = 12
+#: Image bytes described together, and entries of a matrix.
+BLOCK, AT_ONCE = 1 << 20, 1 << 20
 
 
 def _tests() -> np.ndarray:
@@ -59,14 +63,25 @@ def _boxed(x: np.ndarray, r: int) -> np.ndarray:
     return x
 
 
+def _reduced(x: np.ndarray, scale: float) -> np.ndarray:
+    """Images `scale` times smaller: means over squares of that side, parts of pixels counting as such."""
+    for axis in (1, 2):
+        at = np.arange(int(x.shape[axis] / scale) + 1) * scale
+        low = np.minimum(at.astype(np.int64), x.shape[axis] - 1)
+        sums = np.pad(x, [(0, 0) if k != axis else (1, 0) for k in range(3)]).cumsum(axis)
+        part = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+        x = np.diff(np.take(sums, low, axis) + part * np.take(x, low, axis), axis=axis) / scale
+    return x
+
+
 def _corners(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, y, x) of the places where the image varies most in every direction, one in each 5 by 5 pixels."""
+    """(image, y, x) of the places where the image varies most in every direction, the strongest around."""
     gy, gx = np.gradient(images, axis=(1, 2))
     a, b, c = (_boxed(g, 2) for g in (gy * gy, gx * gx, gy * gx))
     least = (a + b) / 2 - np.sqrt(((a - b) / 2) ** 2 + c * c)
-    top = np.pad(least, ((0, 0), (2, 2), (2, 2)), mode="edge")
-    top = np.lib.stride_tricks.sliding_window_view(top, 5, 1).max(-1)
-    top = np.lib.stride_tricks.sliding_window_view(top, 5, 2).max(-1)
+    top = np.pad(least, ((0, 0), (SPACING, SPACING), (SPACING, SPACING)), mode="edge")
+    for axis in (1, 2):
+        top = np.lib.stride_tricks.sliding_window_view(top, 2 * SPACING + 1, axis).max(-1)
     found = (least >= top) & (least > np.maximum(QUALITY * least.max((1, 2), keepdims=True), 1.0))
     found[:, :RADIUS], found[:, -RADIUS:], found[:, :, :RADIUS], found[:, :, -RADIUS:] = False, False, False, False
     return np.nonzero(found)
@@ -76,19 +91,18 @@ def described(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(image, places, bits) of images of one size: a place is x, y, angle, scale; bits are four 64-bit words."""
     which, places, bits = [], [], []
     for scale in SCALES:
-        h, w = images.shape[1] // scale, images.shape[2] // scale
-        if min(h, w) <= 2 * RADIUS:
+        if min(images.shape[1:]) / scale <= 2 * RADIUS + 1:
             break
-        small = images[:, : h * scale, : w * scale].reshape(-1, h, scale, w, scale).mean((2, 4), dtype=np.float64)
-        smooth = _boxed(small, 1)
+        smooth = _boxed(_reduced(images.astype(np.float64), scale) if scale > 1 else images.astype(np.float64), 1)
         n, y, x = _corners(smooth)
         disc = smooth[n[:, None], y[:, None] + DISC[:, 0], x[:, None] + DISC[:, 1]]
         angle = np.arctan2(disc @ DISC[:, 0], disc @ DISC[:, 1])
         turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
         at = TESTS[turn]
-        seen = smooth[n[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
+        smoother = _boxed(smooth, 1)
+        seen = smoother[n[:, None, None], y[:, None, None] + at[..., 0], x[:, None, None] + at[..., 1]]
         which.append(n)
-        places.append(np.stack((x * scale, y * scale, angle, np.full(len(n), scale)), 1).astype(np.float32))
+        places.append(np.stack(((x + 0.5) * scale, (y + 0.5) * scale, angle, np.full(len(n), scale)), 1).astype(np.float32))
         bits.append(np.packbits(seen[..., 0] < seen[..., 1], axis=1).view(np.uint64).reshape(-1, WORDS))
     if not which:
         return np.zeros(0, np.int64), np.zeros((0, 4), np.float32), np.zeros((0, WORDS), np.uint64)
@@ -97,24 +111,50 @@ def described(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return which[order], places[order], bits[order]
 
 
+def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(for each description of a the nearest of b, bits that differ), a block of rows at a time."""
+    best, least = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    each = max(1, AT_ONCE // len(b))
+    for k in range(0, len(a), each):
+        differ = sum(np.bitwise_count(a[k : k + each, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(WORDS))
+        best[k : k + each] = differ.argmin(1)
+        least[k : k + each] = differ[np.arange(len(differ)), best[k : k + each]]
+    return best, least
+
+
 def agreeing(places_a: np.ndarray, bits_a: np.ndarray, places_b: np.ndarray, bits_b: np.ndarray) -> int:
-    """How many of b's places the best single movement (of the places that match best both ways) brings a's to."""
+    """How many of b's places the best single movement brings a's to, among descriptions that are nearest to each other.
+
+    Each match proposes the movement of its angles and scales; the matches that roughly follow it give the
+    movement that fits them best, under which they are counted. Places within a pixel count once.
+    """
     if not len(places_a) or not len(places_b):
         return 0
-    differ = np.zeros((len(bits_a), len(bits_b)), np.int64)
-    for k in range(WORDS):
-        differ += np.bitwise_count(bits_a[:, k, None] ^ bits_b[None, :, k])
-    best = differ.argmin(1)
-    near = np.flatnonzero((differ.min(1) <= MATCH_BITS) & (differ[:, best].min(0) == differ.min(1)))
-    near = near[np.unique(best[near], return_index=True)[1]]
+    best, least = _nearest(bits_a, bits_b)
+    back, _ = _nearest(bits_b, bits_a)
+    near = np.flatnonzero((least <= MATCH_BITS) & (back[best] == np.arange(len(best))))
     if len(near) < LEAST_AGREEING:
         return 0
     p, q = places_a[near].astype(np.float64), places_b[best[near]].astype(np.float64)
     z, w = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
     move = q[:, 3] / p[:, 3] * np.exp(1j * (q[:, 2] - p[:, 2]))
-    away = np.abs(z[:, None] - z)
-    off = np.abs(w[:, None] + move[:, None] * (z[None] - z[:, None]) - w[None])
-    return int((off <= OFF_PIXELS + OFF_PART * away * np.abs(move)[:, None]).sum(1).max())
+    spot = np.unique(np.rint(np.column_stack((p[:, :2], q[:, :2])) / 2), axis=0, return_inverse=True)[1].ravel()
+    most, each = 0, max(1, AT_ONCE // len(near))
+    for a in range(0, len(near), each):
+        s = slice(a, a + each)
+        d, e = z[None] - z[s, None], w[None] - w[s, None]
+        inside = (np.abs(move[s, None] * d - e) <= OFF_PIXELS + OFF_PART * np.abs(e)) & (np.abs(np.log(np.abs(move[None] / move[s, None]))) < 0.5)
+        for _ in range(3):
+            n = np.maximum(inside.sum(1), 1)
+            mz, mw = inside @ z / n, inside @ w / n
+            zz = inside @ (np.abs(z) ** 2) - n * np.abs(mz) ** 2
+            turn = (inside @ (np.conj(z) * w) - n * np.conj(mz) * mw) / np.maximum(zz, 1e-9)
+            off = np.abs(turn[:, None] * (z[None] - mz[:, None]) + mw[:, None] - w[None])
+            inside = off <= FITTED_PIXELS * np.maximum(p[:, 3] * np.clip(np.abs(turn), 0.2, 5)[:, None], q[:, 3][None]) ** 0.5
+        inside[(np.abs(turn) < 0.2) | (np.abs(turn) > 5)] = False
+        for row in np.flatnonzero(inside.sum(1) > most):
+            most = max(most, len(np.unique(spot[inside[row]])))
+    return most
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -166,20 +206,38 @@ def _confirmed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+def _keys(classes: DataFrame) -> DataFrame:
+    """cid, at, key: of each description its key in each table; at is the description's place times TABLES, plus the table."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(1)
+            sizes = np.diff(bits.offsets.to_numpy()) // WORDS
+            rows = bits.flatten().to_numpy().view(np.uint8).reshape(-1, 8 * WORDS)[:, : KEY_BYTES * TABLES].reshape(-1, TABLES, KEY_BYTES)
+            wide = np.zeros((*rows.shape[:2], 8), np.uint8)
+            wide[..., :KEY_BYTES], wide[..., -1] = rows, np.arange(TABLES)
+            ends = np.cumsum(sizes)
+            at = (np.arange(len(rows)) - np.repeat(ends - sizes, sizes))[:, None] * TABLES + np.arange(TABLES)
+            cid = np.repeat(batch.column(0).to_numpy(), sizes * TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(at.ravel().astype(np.int32)), pa.array(mixed(wide.view(np.uint64).ravel()).view(np.int64))], ["cid", "at", "key"])
+
+    return classes.select("cid", "bits").mapInArrow(cut, "cid long, at int, key long")
+
+
 def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: classes of different components with two near descriptions in a bucket, each pair once."""
     m = members.join(nodes.select("cid", "comp"), "cid")
     open_ = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks")).filter("low <> high")
     m = m.join(open_.select("key", "blocks"), "key").join(classes.select("cid", "bits"), "cid")
-    point = F.floor(F.col("at") / (2 * WORDS)).cast("int") * WORDS + 1
+    point = F.floor(F.col("at") / TABLES).cast("int") * WORDS + 1
     m = m.withColumn("block", F.pmod(F.xxhash64("cid", "at"), F.col("blocks")).cast("int")).withColumn("own", F.slice("bits", point, WORDS))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", "own")
+    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", (F.col("at") % TABLES).alias("t"), "own")
 
     def near(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         starts = np.append(_group_starts(rows), rows.num_rows)
-        i, j, block, cid, comp = (rows.column(k).to_numpy() for k in range(1, 6))
+        i, j, block, cid, comp, t = (rows.column(k).to_numpy() for k in range(1, 7))
         bits = rows["own"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
         for a, b in zip(starts[:-1], starts[1:]):
             if i[a] == j[a]:
@@ -190,7 +248,10 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> Dat
             x, y = x + a, y + a
             ok = comp[x] != comp[y]
             x, y = x[ok], y[ok]
-            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= MATCH_BITS
+            other = bits[x] ^ bits[y]
+            ok = np.bitwise_count(other).sum(1) <= MATCH_BITS
+            cut = other.view(np.uint8).reshape(-1, 8 * WORDS)[:, : KEY_BYTES * TABLES].reshape(-1, TABLES, KEY_BYTES)
+            ok &= ~(~cut.any(2) & (np.arange(TABLES) < t[x][:, None])).any(1)
             if ok.any():
                 pairs = np.unique(np.sort(np.stack((cid[x[ok]], cid[y[ok]]), 1), 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -229,17 +290,16 @@ def edited_copies(images: DataFrame, image_id: str = "image_id", pixels: str = "
     classes = linkable.groupBy("digest").agg(F.min("image_id").alias("cid"), F.min("n_points").alias("n_points"), F.first("places").alias("places"), F.first("bits").alias("bits"))
     # Rows that share an id may differ; a class's own number keeps them apart.
     classes = written(classes.withColumnRenamed("cid", "image_id").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    word = lambda k: F.get("bits", F.floor(k / 2).cast("int"))
-    parts = F.transform(
-        F.sequence(F.lit(0), 2 * F.size("bits") - 1),
-        lambda k: F.xxhash64(k % (2 * WORDS), F.when(k % 2 == 0, F.shiftright(word(k), 32)).otherwise(word(k).bitwiseAND(F.lit(0xFFFFFFFF)))),
-    )
-    keys = classes.filter(F.size("bits") > 0).select("cid", F.posexplode(parts).alias("at", "key"))
+    keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select("key")
     members = written(keys.join(shared, "key"), "members")
     nodes = written(members.select("cid").distinct().select("cid", F.col("cid").alias("comp")), "nodes")
-    for order in (F.col("cid"), F.xxhash64("cid")):
-        nodes = _joined(nodes, written(_confirmed(_leader_pairs(members, nodes, order), classes), "links"))
+    for k in range(ROUNDS):
+        order = F.xxhash64("cid", F.lit(k)) if k else F.col("cid")
+        found = written(_confirmed(_leader_pairs(members, nodes, order), classes), "links")
+        nodes = _joined(nodes, found)
+        if k and found.filter("linked").isEmpty():
+            break
     rest = written(_open_pairs(members, nodes, classes), "pairs")
     nodes = _joined(nodes, written(_confirmed(rest, classes), "links"))
 
@@ -250,25 +310,26 @@ def edited_copies(images: DataFrame, image_id: str = "image_id", pixels: str = "
     return out.select("image_id", "n_points", component.alias("component_id"), (F.col("image_id").isNull() | (F.col("image_id") == component)).alias("kept"))
 
 
-def tiled(rows: DataFrame, image_id: str, vector: str, tile: int = 8) -> DataFrame:
-    """image_id, height, width, pixels: each vector as a square of grey tiles, row by row (mid grey at 0, and after the end)."""
+#: Side of a drawn picture in tiles, side of a tile in pixels, and how far a tile's grey deviates from mid grey.
+TILES, TILE, CONTRAST = 16, 3, 48
+
+
+def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
+    """image_id, height, width, pixels: each vector as a picture of tiles; a tile's grey is the vector's share in a fixed random direction.
+
+    A vector of zeros (or of no number) is plain mid grey; a null has no picture. Values that are no numbers count as 0.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pictures, sides = [], []
-            for v in batch.column(1):
-                if not v.is_valid:
-                    pictures.append(None)
-                    sides.append(None)
-                    continue
-                x = np.nan_to_num(np.array(v.values.to_numpy(zero_copy_only=False), np.float64))
-                side = int(np.ceil(np.sqrt(len(x))))
-                grid = np.zeros(side * side)
-                grid[: len(x)] = x
-                grey = np.clip(np.rint(128 + 256 * grid), 0, 255).astype(np.uint8).reshape(side, side)
-                pictures.append(grey.repeat(tile, 0).repeat(tile, 1).tobytes())
-                sides.append(side * tile)
-            size = pa.array(sides, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, size, pa.array(pictures, pa.binary())], ["image_id", "height", "width", "pixels"])
+            v, n = batch.column(1), batch.num_rows
+            sizes = np.nan_to_num(v.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            values = np.zeros((n, max(1, sizes.max(initial=0))))
+            values[np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(v.flatten().to_numpy(zero_copy_only=False), posinf=0, neginf=0)
+            length = np.sqrt((values**2).sum(1, keepdims=True))
+            grey = values / np.where(length > 0, length, 1) @ np.random.default_rng(11).normal(size=(values.shape[1], TILES * TILES))
+            grey = np.clip(np.rint(128 + CONTRAST * grey), 0, 255).astype(np.uint8).reshape(n, TILES, TILES).repeat(TILE, 1).repeat(TILE, 2)
+            side = pa.array(np.full(n, TILES * TILE, np.int32), mask=v.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), side, side, pa.array([x.tobytes() if ok else None for x, ok in zip(grey, v.is_valid().to_pylist())], pa.binary())], ["image_id", "height", "width", "pixels"])
 
     return rows.select(F.col(image_id).cast("long").alias("image_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(draw, "image_id long, height int, width int, pixels binary")

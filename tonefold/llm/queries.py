@@ -68,8 +68,8 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited copies among the embeddings, each drawn as tiles of grey: no table has images."""
-    images = media.tiled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """The edited copies among the embeddings, each drawn as a picture: no table has images."""
+    images = media.drawn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return media.edited_copies(images).withColumnRenamed("image_id", "vec_id")
 
 
