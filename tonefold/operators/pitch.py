@@ -20,7 +20,7 @@ from tonefold.operators import signals as O
 from tonefold.operators.sets import blend_plan
 
 #: Hz that are looked for, how high a peak must be, and how near to the highest one the first may be.
-LOWEST, HIGHEST, CLEAR, NEAR = 20.0, 3000.0, 0.6, 0.93
+LOWEST, HIGHEST, CLEAR, NEAR = 20.0, 3000.0, 0.6, 0.9
 #: Cents by which a signal is shifted for the vote, Hz off that still agree, and width and height of the agreement of chunks.
 OCTAVES, AGREE_HZ, WIDTH_HZ, HEIGHT, LOUD = (-2400, -1200, 0, 1200), 1.5, 0.9, 10.0, 1.5
 #: Agreement beyond so many Hz is below what a double holds beside a chunk's agreement with itself.
@@ -45,13 +45,14 @@ def chunk_pitch(x: np.ndarray, rate: float) -> np.ndarray:
     peak[:, : shortest - 1] = False
     # Peaks before the correlation has first fallen below 0 belong to lag 0.
     peak &= np.cumsum(like[:, 1:-1] < 0, 1) > 0
-    height = np.where(peak, like[:, 1:-1], -1)
+    # Heights between lags, on the parabola through three of them.
+    slope, bend = like[:, :-2] - like[:, 2:], like[:, :-2] - 2 * like[:, 1:-1] + like[:, 2:]
+    off = np.where(bend < 0, 0.5 * slope / np.where(bend < 0, bend, 1), 0)
+    height = np.where(peak, like[:, 1:-1] - 0.25 * slope * off, -1)
     best = height.max(1)
     rows = np.flatnonzero((best >= CLEAR) & (both[:, 0] > 1e-12))
-    at = (height[rows] >= NEAR * best[rows, None]).argmax(1) + 1
-    before, here, after = like[rows, at - 1], like[rows, at], like[rows, at + 1]
-    bend = before - 2 * here + after
-    out[rows] = rate / (at + np.where(bend < 0, 0.5 * (before - after) / np.where(bend < 0, bend, 1), 0))
+    at = (height[rows] >= NEAR * best[rows, None]).argmax(1)
+    out[rows] = rate / (at + 1 + off[rows, at])
     return out
 
 

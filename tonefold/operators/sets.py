@@ -31,12 +31,12 @@ def conflicts(files: DataFrame, path: str = "path") -> DataFrame:
 
 def first_group(pattern: str) -> tuple[str, str, str] | None:
     """What stands before, in and after group 1, if it is a plain part of the whole: not nested, repeated, in an alternative or referred to."""
-    depth, at, opened, inside = 0, 0, None, False
+    depth, at, opened, closed, inside = 0, 0, None, None, False
+    if re.search(r"\\[1-9]", pattern):
+        return None
     while at < len(pattern):
         c = pattern[at]
         if c == "\\":
-            if pattern[at + 1 : at + 2].isdigit():
-                return None
             at += 1
         elif inside:
             inside = c != "]"
@@ -53,11 +53,12 @@ def first_group(pattern: str) -> tuple[str, str, str] | None:
             depth += 1
         elif c == ")":
             depth -= 1
-            if not depth and opened is not None:
-                after = pattern[at + 1 :]
-                return None if after[:1] in ("?", "*", "+", "{") else (pattern[:opened], pattern[opened + 1 : at], after)
+            if not depth and opened is not None and closed is None:
+                closed = at
         at += 1
-    return None
+    if closed is None or pattern[closed + 1 : closed + 2] in ("?", "*", "+", "{"):
+        return None
+    return pattern[:opened], pattern[opened + 1 : closed], pattern[closed + 1 :]
 
 
 def split_at_group(stem: Column, pattern: str) -> Column:
