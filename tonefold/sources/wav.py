@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tonefold.functions import scalars as S
 from tonefold.operators.metadata import METADATA, fields
+from tonefold.operators.signals import in_rows  # noqa: F401  the form that is written
 
 FIELDS = fields("path string, sample_rate int, num_channels int, bits_per_sample int, num_frames bigint")
 READ = T.StructType([*FIELDS, T.StructField("metadata", METADATA), T.StructField("info", T.MapType(T.StringType(), T.StringType())), T.StructField("problem", T.StringType())])
@@ -181,12 +182,6 @@ def signals(rows: DataFrame) -> DataFrame:
     return points.select("path", F.floor(F.col("at") / n).alias("frame"), (F.col("at") % n).alias("channel"), "value", "num_frames", "num_channels", "sample_rate")
 
 
-def in_rows(df: DataFrame) -> DataFrame:
-    """path, samples (interleaved), num_frames, num_channels, sample_rate of signals in long form."""
-    points = F.sort_array(F.collect_list(F.struct("frame", "channel", "value")))
-    return df.groupBy("path").agg(F.transform(points, lambda x: x["value"]).alias("samples"), *[F.max(c).alias(c) for c in ("num_frames", "num_channels", "sample_rate")])
-
-
 # Writing
 def chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
