@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonefold.llm.common import byte_column
+from tonefold.llm.common import byte_column, unused
 
 OPEN, CLOSE, AFTER_ROLE = "### ", "</turn>\n", ": "
 #: What may not stand inside a text as it is, and its escape. The backslash comes first.
@@ -139,7 +139,9 @@ def read_back(chats: DataFrame) -> DataFrame:
             out.append({"turns": turns, "trained": [unescaped(raw[s["start"] : s["start"] + s["length"]].decode()) for s in spans]})
         return pa.array(out, pa.struct([("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), ("trained", pa.list_(pa.string()))]))
 
-    return chats.withColumn("_p", parse("formatted", "loss")).select(*chats.columns, "_p.turns", "_p.trained")
+    own = unused(chats, "_read")
+    names = [F.col(f"`{c}`") for c in chats.columns if c not in ("turns", "trained")]
+    return chats.withColumn(own, parse("formatted", "loss")).select(*names, f"{own}.turns", f"{own}.trained")
 
 
 def digests(read: DataFrame) -> DataFrame:

@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and
-    set for the session's context.
+    Only where that is unset and all runs on one machine (tests), a temporary folder is made, once a
+    context; on a cluster an unset folder is an error.
     """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir")
     if where is None:
-        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(context, "_tonefold_dir", None) or tempfile.mkdtemp(prefix="tonefold-")
         context._tonefold_dir = where
     return where
@@ -64,6 +66,13 @@ def give_back() -> None:
         trim(0)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A prefix that no column of df begins with, for columns that go again."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value computed once a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

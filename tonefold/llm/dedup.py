@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, written
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, unused, written
 
 SHINGLE = 5
 ROWS, MOST_HALVES = 3, 32
@@ -127,11 +127,11 @@ def bit_sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n long, f1 long, f2 long, halves array<long>"
+SKETCH = "doc_id long, text_hash long, n long, f1 long, f2 long, halves array<long>"
 
 
 def sketches(docs: DataFrame, halves: int) -> DataFrame:
-    """doc_id, size of the set, two hashes of the set (null if empty), its half bands, for docs(doc_id, text)."""
+    """doc_id, text_hash, size of the set, two hashes of the set (null if empty), its half bands, for docs(doc_id, text, text_hash)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +147,7 @@ def sketches(docs: DataFrame, halves: int) -> DataFrame:
                     f[0, some] = np.add.reduceat(mixed(sets), starts).view(np.int64)
                     f[1, some] = np.add.reduceat(mixed(sets ^ _ODD[5]), starts).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * (2 * halves)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(f[0], mask=~some), pa.array(f[1], mask=~some), flat], ["doc_id", "n", "f1", "f2", "halves"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array(f[0], mask=~some), pa.array(f[1], mask=~some), flat], ["doc_id", "text_hash", "n", "f1", "f2", "halves"])
         give_back()
 
     return docs.mapInArrow(sketch, SKETCH)
@@ -199,16 +199,17 @@ def relabelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, leader: one row for each row of docs.
+    """doc_id, text_hash, n_shingles, component_id, kept, leader: one row for each row of docs.
 
     component_id is the smallest doc_id that links lead to; kept marks the document of that id, and
     leader one row of each component. Sets link at a Jaccard similarity of per_cent or more. Texts without words link with nothing, nor do rows without an
-    id (component_id null, kept true). Rows that share an id are documents of their own.
+    id (component_id null, kept true). Rows that share an id are documents of their own, which
+    text_hash (of the text as it is, null as empty) tells apart.
     """
     limit = Limit.of(per_cent)
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = written(sketches(source, limit.halves).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    rows = written(sketches(source.withColumn("text_hash", F.xxhash64("text")), limit.halves).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     linkable = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("n", "f1", "f2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("halves").alias("halves"))
     classes = written(classes, "classes")
@@ -239,11 +240,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"),
         (alone | (F.col("doc_id") == component)).alias("kept"), (alone | (F.col("rid") == F.col("leader"))).alias("leader"),
     )
 
 
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+    """One row of docs for each group of near duplicates: its leader.
+
+    Of rows that share their id and text, that with the least other values stays (columns that can't be
+    compared, as maps, don't count). Rows without an id, or without words, stay, repeats of one text once.
+    """
+    own = unused(docs, "_same")
+    leaders = near_duplicates(docs, doc_id, text, per_cent).filter("leader").select(F.col("doc_id").alias(f"{own}_id"), F.col("text_hash").alias(f"{own}_text")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    kept = rows.join(leaders, rows["id"].eqNullSafe(leaders[f"{own}_id"]) & (rows["hash"] == leaders[f"{own}_text"]), "left_semi")
+    order = F.struct(*[F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    return kept.groupBy("id", "hash").agg(F.min_by("row", order).alias("row")).select("row.*")
+
+
 def _texts_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
     """cid, text, bits: for each class a text that has its set, found by the class's smallest doc_id, and the set's bit sketch."""
     wanted = nodes.select("doc_id", "cid", "f1")

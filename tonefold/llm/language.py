@@ -3,9 +3,10 @@
 Each language has a context tree of up to three bytes with frozen counts. A byte's code
 length comes from the longest context that the tree holds: a byte seen there has its share
 of (count / (total + distinct)); the escape share distinct / (total + distinct) goes to the
-bytes not seen, in proportion to what the next shorter context gives them. The shares of a
-context add up to one, so the code lengths are exact, and the language with the shortest code
-for the whole text is the answer.
+bytes not seen, in proportion to what the next shorter context gives them. Rare bytes share one symbol
+of the trees, and a byte that has it pays for its own share among them too. So the shares of all
+bytes in a context add up to one, the code lengths are exact, and the language with the shortest
+code for the whole text is the answer.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks
+from tonefold.llm.common import bounded_batches, byte_column, give_back, row_blocks, unused
 
 ORDER = 3
-#: Symbols: the commonest bytes of the training texts; all others share the last one.
+#: Symbols of the trees: the commonest bytes of the training texts; all others share the last one.
 ALPHABET = 64
 BLOCK = 1 << 19
 UNKNOWN = "und"
@@ -55,12 +56,16 @@ def contexts(s: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """languages; symbol of each byte; context node of each ORDER symbols; bits[node * ALPHABET + symbol, language]."""
+    """languages; symbol of each byte; context node of each ORDER symbols; bits[node * ALPHABET + symbol, language].
+
+    own[byte, language] is what a byte pays among those that share the last symbol; others pay 0.
+    """
 
     languages: list[str]
     symbol: np.ndarray
     node: np.ndarray
     bits: np.ndarray
+    own: np.ndarray
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bits for each text and language, number of coded bytes)."""
@@ -72,8 +77,10 @@ class Model:
             history = (x[where - 3] * ALPHABET + x[where - 2]) * ALPHABET + x[where - 1]
             cell = self.node[history] * ALPHABET + x[where]
             owner = np.repeat(np.arange(b - a), n)
+            rare = np.flatnonzero(x[where] == ALPHABET - 1)
             for k in range(len(self.languages)):
                 out[a:b, k] = np.bincount(owner, self.bits[cell, k], minlength=b - a)
+                out[a:b, k] += np.bincount(owner[rare], self.own[s[where[rare]], k], minlength=b - a)
             sizes[a:b] = n
         return out, sizes
 
@@ -121,7 +128,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: s
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros(256, np.uint8), np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((256, 0), np.float32))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most_texts / n))]), F.col(lang))
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 24)) < rate * (1 << 24)
     counted = gram_counts(rows.filter(draw), lang, text).toArrow()
@@ -169,7 +176,12 @@ def compiled(languages: list[str], which: np.ndarray, gram: np.ndarray, n: np.nd
         below, slot = everything, slot_global
     node = slot_global.astype(np.int32)
     table = -np.log2(np.concatenate(bits, axis=1)).transpose(1, 2, 0).reshape(-1, len(languages))
-    return Model(languages, symbol, node, np.ascontiguousarray(table, np.float32))
+    own = np.zeros((256, len(languages)), np.float32)
+    shared = np.flatnonzero(symbol == a - 1)
+    for k in range(len(languages)):
+        seen = np.bincount(gram[which == k] & 255, n[which == k], minlength=256)[shared] + 1
+        own[shared, k] = -np.log2(seen / seen.sum())
+    return Model(languages, symbol, node, np.ascontiguousarray(table, np.float32), own)
 
 
 def escaped(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -209,9 +221,11 @@ def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(m.languages, pa.string()).take(pa.array(best)), pa.array(score), pa.array(least / np.maximum(sizes, 1))], ["lang", "score", "rate"])
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = df.withColumn("_id", identify(padded(text))).withColumn("_ok", lettered)
+    own = unused(df, "_lang")
+    out = df.withColumn(own, F.struct(identify(padded(text)).alias("found"), lettered.alias("ok")))
+    ok, found = F.col(own)["ok"], F.col(own)["found"]
     return out.withColumns({
-        "lang_pred": F.when(F.col("_ok"), F.col("_id.lang")).otherwise(F.lit(UNKNOWN)),
-        "score": F.when(F.col("_ok"), F.col("_id.score")).otherwise(F.lit(0.0)),
-        "bits_per_byte": F.when(F.col("_ok"), F.col("_id.rate")),
-    }).drop("_id", "_ok")
+        "lang_pred": F.when(ok, found["lang"]).otherwise(F.lit(UNKNOWN)),
+        "score": F.when(ok, found["score"]).otherwise(F.lit(0.0)),
+        "bits_per_byte": F.when(ok, found["rate"]),
+    }).drop(own)

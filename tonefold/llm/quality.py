@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonefold.llm.common import SPACES, UPPER, WORD, let, text_or_empty
+from tonefold.llm.common import SPACES, UPPER, WORD, let, text_or_empty, unused
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -96,8 +96,8 @@ def measurements(text: Column) -> dict[str, Column]:
     letters = UPPER + UPPER.lower()
     word_counts = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_window_words(w).alias("rep")))
     return {
-        "_words": word_counts,
-        "_lines": line_counts,
+        "words": word_counts,
+        "lines": line_counts,
         "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "n_symbols": removed(SYMBOLS).cast("long"),
         "n_upper": removed(UPPER).cast("long"),
@@ -116,20 +116,21 @@ def with_ledger(df: DataFrame, text: str = "text", prefix: str = "") -> DataFram
     the names written are replaced; all others, rows and repeats of rows stay.
     """
     names = {n: f"{prefix}{n}" for n in MEASURED}
-    src = df.withColumn("_text", text_or_empty(text))
-    out = src.withColumns({f"_m{n}": c for n, c in measurements(F.col("_text")).items()})
+    own = unused(df, "_q")
+    src = df.withColumn(own, text_or_empty(text))
+    out = src.withColumns({f"{own}_{n}": c for n, c in measurements(F.col(own)).items()})
     found = {
-        "n_words": F.col("_m_words")["n"].cast("long"),
-        "n_repeat_words": F.col("_m_words")["rep"],
-        "n_lines": F.col("_m_lines")["n"].cast("long"),
-        "n_dup_lines": F.col("_m_lines")["dup"].cast("long"),
+        "n_words": F.col(f"{own}_words")["n"].cast("long"),
+        "n_repeat_words": F.col(f"{own}_words")["rep"],
+        "n_lines": F.col(f"{own}_lines")["n"].cast("long"),
+        "n_dup_lines": F.col(f"{own}_lines")["dup"].cast("long"),
     }
-    found |= {n: F.col(f"_m{n}") for n in MEASURED if n not in found}
-    out = out.withColumn("_ledger", F.struct(*[found[n].alias(n) for n in MEASURED]))
-    m = {n: F.col("_ledger")[n] for n in MEASURED}
+    found |= {n: F.col(f"{own}_{n}") for n in MEASURED if n not in found}
+    out = out.withColumn(f"{own}_ledger", F.struct(*[found[n].alias(n) for n in MEASURED]))
+    m = {n: F.col(f"{own}_ledger")[n] for n in MEASURED}
     bits = sum((F.when(r.fails(m), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES), F.lit(0)).cast("long")
-    out = out.withColumns({names[n]: F.col("_ledger")[n] for n in MEASURED} | {f"{prefix}failed_bits": bits})
-    return out.drop("_text", "_ledger", "_m_words", "_m_lines", *[f"_m{n}" for n in MEASURED])
+    out = out.withColumns({names[n]: m[n] for n in MEASURED} | {f"{prefix}failed_bits": bits})
+    return out.drop(*[c for c in out.columns if c.startswith(own)])
 
 
 def fails(policy: Policy, bits: str = "failed_bits") -> Column:
@@ -139,16 +140,19 @@ def fails(policy: Policy, bits: str = "failed_bits") -> Column:
 def ablations(ledger: DataFrame, policy: Policy = FULL, bits: str = "failed_bits") -> DataFrame:
     """For each rule of the policy: texts it fails, and texts that it alone removes. One row a rule.
 
-    One aggregation over the ledger; an empty ledger gives zeros.
+    The ledger shrinks to one count for each pattern of bits (at most 2 to the number of rules), and
+    the rules read those; an empty ledger gives zeros.
     """
     rules = [r for r in RULES if r.name in policy.rules]
-    masked = F.col(bits).bitwiseAND(F.lit(policy.mask))
-    sums = [F.count_if(masked.bitwiseAND(F.lit(1 << r.bit)) != 0).alias(f"f{r.bit}") for r in rules]
-    sums += [F.count_if(masked == (1 << r.bit)).alias(f"o{r.bit}") for r in rules]
+    patterns = ledger.groupBy(F.col(bits).bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    of = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0))
+    sums = [of(F.col("bits").bitwiseAND(F.lit(1 << r.bit)) != 0).alias(f"f{r.bit}") for r in rules]
+    sums += [of(F.col("bits") == (1 << r.bit)).alias(f"o{r.bit}") for r in rules]
     rows = F.array(*[F.struct(F.lit(policy.version).alias("version"), F.lit(r.name).alias("rule"), F.col(f"f{r.bit}").alias("failed"), F.col(f"o{r.bit}").alias("failed_alone")) for r in rules])
-    return ledger.agg(*sums).select(F.inline(rows))
+    return patterns.agg(*sums).select(F.inline(rows))
 
 
 def keep_good(df: DataFrame, policy: Policy = FULL, text: str = "text") -> DataFrame:
     """The rows of df whose text passes the policy, with df's own columns."""
-    return with_ledger(df, text, "_q_").filter(~fails(policy, "_q_failed_bits")).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = unused(df, "_kept")
+    return with_ledger(df, text, own).filter(~fails(policy, f"{own}failed_bits")).select(*[F.col(f"`{c}`") for c in df.columns])

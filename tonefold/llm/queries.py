@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import chat, dedup, language, lm, media, mixing, packing, quality, urls, warc
+from tonefold.llm import chat, dedup, language, lm, media, mixing, oracles, packing, quality, urls, warc
 from tonefold.llm.common import held_out, new_path, table, word_count, written
 
 
@@ -63,7 +63,7 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "op6-archives")
     warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     runs = warc.read_runs(spark.read.format("binaryFile").load(path))
-    index = warc.merged_index(runs.drop("payload"))
+    index = warc.merged_index(warc.resolved(runs.drop("payload")))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
@@ -96,4 +96,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op7_media_copies, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

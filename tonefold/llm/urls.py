@@ -30,6 +30,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest of rules (host, path, verdict) that fits; null where none does. rules is a short list."""
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     fits = [
         F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("n"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")))
         for h, p, v in rules

@@ -12,7 +12,9 @@ shares with a loser tree. Over the tasks in order the captures of each URL follo
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import re
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonefold.llm.common import unused, written
+
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_END = "\r\n\r\n"
 #: The digits of RFC 4648's base 32, beside those of Spark's conv.
@@ -51,11 +55,11 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
     """
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.withColumns({"payload_bytes": F.octet_length(body).cast("long"), "payload_digest": sha1_base32(body.cast("binary"))})
-    same = ["payload_digest", "payload_bytes"]
-    shared = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max(page_id).alias("_last"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(shared.filter("_n > 1").drop("_n"), same, "left")
-    again = F.col(page_id) < F.col("_last")
-    return rows.withColumns({"record_type": F.when(again, F.lit("revisit")).otherwise(F.lit("response")), "refers_to": F.when(again, F.col("_last"))}).drop("_last")
+    same, last = ["payload_digest", "payload_bytes"], unused(pages, "_last")
+    shared = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max(page_id).alias(last), F.count(F.lit(1)).alias(f"{last}_n"))
+    rows = rows.join(shared.filter(F.col(f"{last}_n") > 1).drop(f"{last}_n"), same, "left")
+    again = F.col(page_id) < F.col(last)
+    return rows.withColumns({"record_type": F.when(again, F.lit("revisit")).otherwise(F.lit("response")), "refers_to": F.when(again, F.col(last))}).drop(last)
 
 
 def record(page_id: str, url: str, payload: str) -> Column:
@@ -102,13 +106,20 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 
 
 def run_of(file: str, content: bytes, with_payload: bool) -> list[tuple]:
-    """One archive's captures as rows of INDEX, sorted."""
+    """One archive's captures as rows of INDEX, sorted. Length and digest are those of the payload that was read, or what a revisit names."""
     number = lambda x: int(x[10:-1]) if x and x[10:-1] else None
     out = []
     for place, (h, block) in enumerate(records(gzip.GzipFile(fileobj=io.BytesIO(content)))):
-        body = block.partition(b"\r\n\r\n")[2].decode("utf-8", "replace") if with_payload and h["warc-type"] == "response" else None
+        payload, body = block.partition(b"\r\n\r\n")[2], None
+        if h["warc-type"] == "response":
+            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            body = payload.decode("utf-8", "replace") if with_payload else None
+            if (size, f"sha1:{digest}") != (int(h["x-payload-length"]), h["warc-payload-digest"]):
+                raise ValueError(f"record {place} of {file} does not hold the payload that its header names")
+        else:
+            size, digest = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:")
         url = h.get("warc-target-uri")
-        out.append((number(h["warc-record-id"]), url, url_key(url), h["warc-date"], h["warc-type"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), number(h.get("warc-refers-to")), file, place, body))
+        out.append((number(h["warc-record-id"]), url, url_key(url), h["warc-date"], h["warc-type"], size, digest, number(h.get("warc-refers-to")), file, place, body))
     return sorted(out, key=capture_key)
 
 
@@ -179,11 +190,27 @@ def ascending_runs(rows: list[tuple], key) -> list[list]:
     return out
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
+def resolved(runs: DataFrame) -> DataFrame:
+    """runs whose revisits have length and digest from the response that they refer to: null where it isn't there, or has another payload."""
+    named, found = ["refers_to", "payload_bytes", "payload_digest"], ["page_id", "payload_bytes", "payload_digest"]
+    responses = runs.filter("record_type = 'response'").select(*[F.col(a).alias(b) for a, b in zip(found, named)]).distinct().withColumn("here", F.lit(True))
+    both = runs.join(responses, named, "left")
+    known = (F.col("record_type") == "response") | F.col("here")
+    return both.withColumns({c: F.when(known, F.col(c)) for c in named[1:]}).select(*runs.columns)
+
+
+#: Captures that a task of the merge holds, about.
+RANGE_ROWS = 200_000
+
+
+def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs in the order of (url_key, captured, page_id), partition after partition.
 
-    A task holds its range of the index; a URL with very many captures spans several ranges.
+    A task holds its range of the index, of which there are as many as range_rows asks for; a URL with
+    very many captures spans several ranges. Null and repeated page_ids stay; no capture gives no rows.
     """
+    runs = written(runs, "runs")
+    ranges = -(-runs.count() // range_rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=arrow_schema)
@@ -197,5 +224,5 @@ def merged_index(runs: DataFrame) -> DataFrame:
 
     fields = [f for f in INDEX if f.name in runs.columns]
     arrow_schema = pa.schema([(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.string()) for f in fields])
-    ranges = runs.select(*arrow_schema.names).repartitionByRange("url_key", "captured", "page_id", "place")
-    return ranges.mapInArrow(merge, T.StructType(fields))
+    dealt = runs.select(*arrow_schema.names).repartitionByRange(max(1, ranges), "url_key", "captured", "page_id", "place")
+    return dealt.mapInArrow(merge, T.StructType(fields))
