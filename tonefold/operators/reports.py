@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tonefold.functions import scalars as S
 from tonefold.operators import metadata as M
 from tonefold.operators import signals as O
+from tonefold.operators import spectra as X
 
 #: The fields of a report, in the order of their names.
 FIELDS = (
@@ -109,6 +110,32 @@ def as_text(report: DataFrame) -> DataFrame:
     return report.select("path", F.concat_ws("\n", *lines).alias("text"))
 
 
+def mir(signals: DataFrame, pitch: DataFrame | None = None, track: DataFrame | None = None, size: int = X.SIZE, columns: int = 96) -> DataFrame:
+    """path, json: length, channels, correlation of a stereo signal, spectrum by bands, envelope, and with pitch(path, hz, confidence) and track (see pitch.track) those too."""
+    listed = lambda df, key, value: df.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value]).alias("values"))
+    base = signals.groupBy("path").agg((F.max("num_frames") / F.max("sample_rate")).alias("length_seconds"), F.max("num_channels").alias("channels"), (F.max("sample_rate") / 2).alias("top"))
+    base = base.join(O.phase_correlation(signals), "path", "left").withColumn("stereo", F.col("channels") > 1)
+    parts = {"spectrum": listed(X.bands(X.magnitudes(signals, size), size), "band", "db"), "envelope": listed(O.envelope(signals, columns), "bucket", "rms")}
+    # null columns keep their place in a list
+    if track is not None:
+        whole = X.track_columns(track, columns).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("column", "hz"))).alias("s"))
+        parts["pitch_track"] = whole.select("path", F.transform("s", lambda x: x["hz"]).alias("values"))
+    about = {
+        "spectrum": ("dbfs", "log", F.lit(X.LOWEST), F.col("top")), "envelope": ("rms_linear", "linear", F.lit(0.0), F.col("length_seconds")), "pitch_track": ("hz", "linear", F.lit(0.0), F.col("length_seconds")),
+    }
+    for name, part in parts.items():
+        unit, scale, low, high = about[name]
+        base = base.join(part.withColumnRenamed("values", f"{name}_values"), "path", "left")
+        record = F.struct(F.lit(unit).alias("unit"), F.lit(scale).alias("scale"), low.alias("min"), high.alias("max"), F.col(f"{name}_values").alias("values"))
+        base = base.withColumn(name, record).drop(f"{name}_values")
+    if pitch is not None:
+        note = S.nearest_note(F.coalesce("hz", F.lit(0.0)))
+        found = F.struct("hz", "confidence", S.note_name(note).alias("nearest_note"), note.alias("midi_note"), S.cents_between(S.note_pitch(note), F.col("hz")).alias("cents"))
+        base = base.join(pitch.select("path", F.when(F.col("hz").isNotNull(), found).alias("pitch")), "path", "left")
+    fields = F.struct("length_seconds", "channels", "stereo", F.col("correlation").alias("phase_correlation"), *[c for c in (*parts, "pitch") if c in base.columns])
+    return base.select("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def pop_lines(pops: DataFrame) -> DataFrame:
     """path, channel, side (L, or R for any but the first), frames: the frames of a channel's pops in order, comma by comma."""
     frames = F.array_join(F.array_sort(F.collect_list("frame")).cast("array<string>"), ", ")

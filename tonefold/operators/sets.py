@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonefold.functions import scalars as S
+from tonefold.operators.checks import problems
 from tonefold.session import checkpointed
 
 
@@ -120,6 +121,19 @@ def blend_plan(files: DataFrame, step: int, folder: str = "folder", root: str =
     return notes.select(folder, F.col(root).alias("lower"), "upper", "note", F.col(name).alias("lower_file"), "upper_file", (1 - (F.col("note") - F.col(root)) / span).alias("lower_weight"), (1 - (F.col("upper") - F.col("note")) / span).alias("upper_weight"))
 
 
+def unblendable(files: DataFrame, folder: str = "folder", root: str = "root") -> DataFrame:
+    """path, problem: folders with fewer than two files, and those in which two files have one root."""
+    sizes = files.groupBy(folder).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(root).alias("roots"))
+    return problems(sizes, F.col("n") < 2, "fewer than two files", folder).unionByName(problems(sizes, F.col("roots") < F.col("n"), "two files have one root", folder))
+
+
+def unmoved(files: DataFrame) -> DataFrame:
+    """path, problem: one row if no file of folderised() goes anywhere; the paths that several files would have."""
+    none = files.agg(F.count_if(F.col("path") != F.col("new_path")).alias("moved"), F.count(F.lit(1)).alias("n"))
+    shared = conflicts(files.select("new_path"), "new_path")
+    return problems(none.withColumn("path", F.lit("*")), F.col("moved") == 0, "no file matches").unionByName(problems(shared, F.lit(True), "more than one file would have this path", "new_path"))
+
+
 # Names
 def renamed_by_regex(stem: Column, pattern: str, to: str) -> Column:
     return F.when(stem.rlike(S.whole(pattern)), S.template(to, S.regex_groups(stem, pattern))).otherwise(stem)

@@ -119,6 +119,7 @@ def pitches() -> None:
         b AS (SELECT path, hz, arg_min({{'n': note, 'p': pitch}}, {{'d': abs(hz - pitch), 'n': note}}) AS m FROM q, notes GROUP BY ALL), c AS (SELECT path, m.n AS note, 1200 * log2(m.p / hz) AS cents FROM b)
         SELECT p_partkey AS path, note, CASE WHEN note IS NOT NULL AND (p_partkey % 2 = 1 OR (p_partkey % 128 - note) % 12 = 0) THEN CASE WHEN abs(cents) < 1 THEN 0 ELSE round(cents, 6) + 0.0 END END AS cents
         FROM part LEFT JOIN c ON path = p_partkey""")
+    add("mir_report", lambda spark, d: R.mir(V.signals(spark, d, 2), P.detected(V.signals(spark, d, 2)), P.track(V.signals(spark, d, 2)), size=16))
     add("pitch_track", lambda spark, d: P.track(V.signals(spark, d), 0.5))
     add("detect_pitch", lambda spark, d: P.detected(V.signals(spark, d)))
     roots = lambda spark, d: V.table(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.floor(F.col("vec_id") / 8).alias("folder"), (F.col("vec_id") % 8 * 3 + 40).alias("root"))

@@ -70,6 +70,13 @@ def names() -> None:
         SELECT path, note AS expected, pitch AS expected_hz FROM t LEFT JOIN notes ON note = p_size + 12""")
 
 
+    add("blend_problems", lambda spark, d: G.unblendable(tones(spark, d), root="p_size"), f"""WITH {TONES_SQL}, s AS (SELECT folder, count(*) AS n, count(DISTINCT p_size) AS roots FROM t GROUP BY folder)
+        SELECT folder AS path, 'fewer than two files' AS problem FROM s WHERE n < 2 UNION ALL SELECT folder, 'two files have one root' FROM s WHERE roots < n""")
+    add("folderise_problems", lambda spark, d: G.unmoved(G.folderised(V.files(spark, d), "(fr|xx)-.*", "<1>").withColumn("new_path", F.regexp_replace("new_path", "[0-9](?=[.])", ""))), f"""WITH {V.FILES_SQL},
+        n AS (SELECT regexp_replace(CASE WHEN lang = 'fr' THEN 'fr/' || regexp_extract(path, '([^/]*)$', 1) ELSE path END, '[0-9]([.](?:wav|flac))$', '\\1') AS p FROM f)
+        SELECT p AS path, 'more than one file would have this path' AS problem FROM n GROUP BY p HAVING count(*) > 1""")
+
+
 def records() -> None:
     sampler = lambda f, *fields: f.select("path", *[F.col(f"metadata.midi_mapping.sampler_mapping.{c}").alias(c) for c in fields])
     add("sampler_root_regex", lambda spark, d: M.embed_root(orders(spark, d), "s_([0-9]+)_.*").select("path", F.col("metadata.midi_mapping.root_midi_note").alias("root"), F.col("metadata.midi_mapping.sampler_mapping.high_note").alias("high_note"), F.size("metadata.loops").alias("loops")),
