@@ -70,7 +70,9 @@ def wav_files() -> None:
         back = wav.signals(wav.read(files))
         return back.select(F.split("path", ":")[0].cast("long").alias("bits"), F.split("path", ":")[1].cast("long").alias("path"), "frame", "channel", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
-    whole = lambda bits: f"round(CASE WHEN s < 0 THEN s * {1 << (bits - 1)} ELSE s * {(1 << (bits - 1)) - 1} END) / {1 << (bits - 1)}"
+    # What clips at 24 bits, which isn't scaled down, goes round.
+    level = lambda bits: f"round(CASE WHEN s < 0 THEN s * {1 << (bits - 1)} ELSE s * {(1 << (bits - 1)) - 1} END)::BIGINT"
+    whole = lambda bits: f"((({level(bits)} + {1 << (bits - 1)}) % {1 << bits} + {1 << bits}) % {1 << bits} - {1 << (bits - 1)}) / {1 << (bits - 1)}"
     add("wav_roundtrip", there_and_back, f"""WITH {V.signals_sql(2)}, p AS (SELECT *, 2 * value AS loud, greatest(1, max(abs(2 * value)) OVER (PARTITION BY path)) AS peak FROM e),
         b AS (SELECT p.*, bits, CASE WHEN bits IN (8, 16) THEN loud * (1 / peak) ELSE loud END AS s FROM p, (SELECT unnest([8, 16, 24, 32, 64])::BIGINT AS bits))
         SELECT bits, path, frame, channel, round(CASE bits WHEN 8 THEN trunc((s + 1) / 2 * 255) * (2 / 255.0::DOUBLE) - 1 WHEN 16 THEN {whole(16)} WHEN 24 THEN {whole(24)} ELSE s END::FLOAT::DOUBLE, 4) + 0.0 AS value FROM b""")
