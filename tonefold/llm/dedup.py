@@ -166,9 +166,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
             return out
 
         for batch in batches:
-            left, right = sets(batch.column(2)), sets(batch.column(3))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            either = np.fromiter(map(len, left), np.int64, len(both)) + np.fromiter(map(len, right), np.int64, len(both)) - both
+            both, either = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            # Pairs of long texts: a few at a time.
+            for a, b in row_blocks(byte_column(batch.column(2))[1] + byte_column(batch.column(3))[1], 4 * BLOCK):
+                left, right = (sets(batch.column(c).slice(a, b - a)) for c in (2, 3))
+                both[a:b] = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
+                either[a:b] = [len(x) + len(y) for x, y in zip(left, right)]
+            either -= both
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(100 * both >= per_cent * either), pa.array(1 - both / np.maximum(either, 1))], ["a", "b", "linked", "distance"])
         give_back()
 
