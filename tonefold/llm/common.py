@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,3 +132,78 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     offsets = lists.offsets.to_numpy()
     found = flat.filter(pa.array(real)).dictionary_encode()
     return found.indices.to_numpy(), found.dictionary, np.diff(before[offsets - offsets[0]])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that no value of the first column, by which the rows are sorted, crosses."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs_inside(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, number by text) of the runs of bytes that are inside; none crosses the end of a text."""
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
+    end = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1
+    return start, end, np.diff(np.searchsorted(start, offsets))
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, np.uint32(0xEDB88320) ^ (c >> np.uint32(1)), c >> np.uint32(1))
+    return c
+
+
+LOWERED_BYTES = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+CRC = _crc_table()
+#: The registers of a crc32 before any byte; the checksum is the register with all bits turned.
+CRC_START = np.uint32(0xFFFFFFFF)
+#: Bytes of a run that are taken a column at a time; the few longer runs' other bytes go through zlib.
+CRC_COLUMNS = 64
+
+
+def crc_after(state: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """crc32 registers after data[start:end], from a register for each run: the runs' first bytes together, then their second."""
+    order = np.argsort(start - end, kind="stable")
+    at, size, c = start[order], (end - start)[order], state[order]
+    for k in range(min(int(size[0]), CRC_COLUMNS) if len(size) else 0):
+        m = int(np.searchsorted(-size, -k))
+        c[:m] = CRC[(c[:m] ^ data[at[:m] + k]) & np.uint32(255)] ^ (c[:m] >> np.uint32(8))
+    for j in range(int(np.searchsorted(-size, -CRC_COLUMNS))):
+        rest = data[at[j] + CRC_COLUMNS : at[j] + size[j]].tobytes()
+        c[j] = zlib.crc32(rest, int(c[j]) ^ 0xFFFFFFFF) ^ 0xFFFFFFFF
+    out = np.empty_like(c)
+    out[order] = c
+    return out
+
+
+#: Keys that hold more than this share of all rows are looked up by broadcast: there are at most so many.
+HEAVY = 4096
+
+
+def looked_up(rows: DataFrame, answers: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with answers(key, count, ...), where each key has one row that says how many of the `total` rows have it.
+
+    The rows of keys that hold more than a HEAVY-th of all, at most HEAVY keys, stay where they are and
+    get theirs by broadcast; only the others are shuffled. Rows whose key has no answer go.
+    """
+    heavy = F.broadcast(answers.filter(F.col(count) * HEAVY > total).drop(count))
+    light = answers.filter(F.col(count) * HEAVY <= total).drop(count)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))

@@ -79,10 +79,51 @@ b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
 
+#: A crc32 of the UTF-8 text x, by the table that the polynomial gives; `{x}` is any text expression.
+_CRC_TABLE = "crc_table AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(k)))"
+_BYTES = "list_transform(range(0, strlen({x})), lambda i: ('0x' || substr(hex({x}), (2 * i + 1)::BIGINT, 2))::BIGINT)"
+_CRC = "xor(list_reduce(list_prepend(4294967295, " + _BYTES + "), lambda c, b: xor(c >> 8, t[(1 + (xor(c, b) & 255))::BIGINT])), 4294967295)"
+
+IMPORTANCE_RESAMPLING = rf"""
+WITH {_CRC_TABLE},
+texts AS (SELECT row_number() OVER () AS r, doc_id, {LOWERED} AS text, 0 AS target FROM documents UNION ALL SELECT -row_number() OVER (), NULL, {LOWERED}, 1 FROM benchmark),
+w AS (SELECT r, doc_id, target, coalesce(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM texts),
+f AS (SELECT r, target, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS x FROM w),
+c AS (SELECT r, target, x, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT x, {_CRC.format(x="x")} % 10000 AS bucket FROM (SELECT DISTINCT x FROM c), crc_table),
+n AS (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (target = 1), 0)::BIGINT AS t FROM c JOIN k USING (x) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM n)::BIGINT + 10000)::DOUBLE / ((s + 1) * ((SELECT sum(t) FROM n)::BIGINT + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+d AS (SELECT r, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM c JOIN k USING (x) JOIN g USING (bucket) GROUP BY r),
+s AS (SELECT w.r, doc_id, len(ws) >= 20 AS eligible, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM w LEFT JOIN d USING (r) WHERE target = 0),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS place, count(*) OVER () * 25 // 100 AS wanted FROM s WHERE eligible)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END::BIGINT AS rank FROM s LEFT JOIN o USING (r)
+"""
+
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS x FROM documents),
+c AS (SELECT doc_id, x, count(*) AS n FROM runs GROUP BY ALL),
+h AS (SELECT x, n, {_CRC.format(x="y")} AS h FROM (SELECT x, n, coalesce(doc_id::VARCHAR, '') || ':' || x AS y FROM c), crc_table),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(x, 1, (h % length(x))::BIGINT) || substr(x, (h % length(x) + 2)::BIGINT) ELSE x END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i::BIGINT) || substr(word, (i + 2)::BIGINT) AS d FROM v, range(0, length(word)) AS r(i)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+    UNION SELECT v.word, x.word, x.n FROM v JOIN x ON x.d = v.word UNION SELECT x.word, v.word, v.n FROM v JOIN x ON x.d = v.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+t AS (SELECT b.word, b.n_near, b.m, min(near.other) AS other FROM b JOIN near ON near.word = b.word AND near.m = b.m GROUP BY ALL),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END::BIGINT AS form_n FROM v LEFT JOIN t USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON f.word = up.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL
+"""
+
 ORACLES = {
     "op1_minhash_dedup": MINHASH_DEDUP,
     "op5_format_chats": FORMAT_CHATS,
     "op6_warc_archive": WARC_ARCHIVE,
     "op9_mix_sources": MIX_SOURCES,
     "op10_quality_rules": QUALITY_RULES,
+    "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }

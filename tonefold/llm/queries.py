@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonefold.llm import chat, dedup, language, lm, media, mixing, oracles, packing, quality, urls, warc
+from tonefold.llm import chat, dedup, language, lm, media, mixing, oracles, packing, quality, resample, simhash, urls, variants, warc
 from tonefold.llm.common import held_out, new_path, table, word_count, written
 
 
@@ -95,5 +95,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op7_media_copies, op8_pack_sequences, op9_mix_sources, op10_quality_rules)}
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SimHash fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the word features of the benchmark."""
+    return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its commoner near spelling."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_url_filter, op3_language_id, op4_score_texts, op5_format_chats, op6_warc_archive, op7_media_copies,
+        op8_pack_sequences, op9_mix_sources, op10_quality_rules, op11_simhash_dedup, op12_importance_resampling, op13_spelling_variants,
+    )
+}
 ORACLES = oracles.ORACLES
