@@ -14,7 +14,7 @@ def test_the_rest_cannot_be_said_in_sql():
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, name):
     base = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         base.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = base.sql(ORACLES[name])
     columns = sorted(want.columns)

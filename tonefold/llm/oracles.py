@@ -118,12 +118,61 @@ up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word,
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN up ON up.word = f.word AND up.next IS NULL
 """
 
+#: The five primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64(texts: str, seed: int) -> str:
+    """CTEs from texts(sh) to hashed(sh, h), the XXH64 of each text's UTF-8, unsigned; numbers of 128 bits keep products whole."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    all_ = 1 << 64
+    times = lambda x, p: f"({x}) * {p}::UHUGEINT % {all_}::UHUGEINT"
+    plus = lambda x, p: f"(({x}) + {p}::UHUGEINT) % {all_}::UHUGEINT"
+    turned = lambda x, r: f"(({x}) * {1 << r}::UHUGEINT % {all_}::UHUGEINT + ({x}) // {1 << (64 - r)}::UHUGEINT)"
+    xor = lambda x, y: f"xor(({x})::UBIGINT, ({y})::UBIGINT)::UHUGEINT"
+    step = lambda x, y: times(turned(f"(({x}) + ({y}) * {p2}::UHUGEINT % {all_}::UHUGEINT) % {all_}::UHUGEINT", 31), p1)
+    number = lambda at, n: "('0x' || " + " || ".join(f"substr(x, (2 * ({at}) + {2 * k + 1})::BIGINT, 2)" for k in reversed(range(n))) + ")::UHUGEINT"
+    fold = lambda start, items, body: f"list_reduce(list_prepend({start}, {items}), lambda a, b: {body})"
+    each = lambda a, b, at, n: f"list_transform(range({a}, {b}), lambda j: {number(at, n)})"
+    first = ((seed + p1 + p2) % all_, (seed + p2) % all_, seed, (seed - p1) % all_)
+    lanes = ", ".join(f"{fold(f'{v}::UHUGEINT', each(0, 'n // 32', f'32 * j + {8 * k}', 8), step('a', 'b'))} AS v{k}" for k, v in enumerate(first))
+    merged = fold("(" + " + ".join(turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))) + f") % {all_}::UHUGEINT", "[v0, v1, v2, v3]", plus(times(xor("a", step("0::UHUGEINT", "b")), p1), p4))
+    eights = fold(f"(a + n::UHUGEINT) % {all_}::UHUGEINT", each(0, "n % 32 // 8", "n // 32 * 32 + 8 * j", 8), plus(times(turned(xor("a", step("0::UHUGEINT", "b")), 27), p1), p4))
+    four = plus(times(turned(xor("a", times(number("n // 8 * 8", 4), p1)), 23), p2), p3)
+    ones = fold("a", each("n // 4 * 4", "n", "j", 1), times(turned(xor("a", times("b", p5)), 11), p1))
+    return f"""x0 AS (SELECT sh, lower(hex(sh)) AS x, strlen(sh) AS n FROM {texts}),
+x1 AS (SELECT *, {lanes} FROM x0),
+x2 AS (SELECT sh, x, n, CASE WHEN n < 32 THEN {seed + p5}::UHUGEINT ELSE {merged} END AS a FROM x1),
+x3 AS (SELECT sh, x, n, {eights} AS a FROM x2),
+x4 AS (SELECT sh, x, n, CASE WHEN n % 8 < 4 THEN a ELSE {four} END AS a FROM x3),
+x5 AS (SELECT sh, {ones} AS a FROM x4),
+x6 AS (SELECT sh, {times(xor("a", f"a // {1 << 33}::UHUGEINT"), p2)} AS a FROM x5),
+x7 AS (SELECT sh, {times(xor("a", f"a // {1 << 29}::UHUGEINT"), p3)} AS a FROM x6),
+hashed AS (SELECT sh, {xor("a", f"a // {1 << 32}::UHUGEINT")}::UBIGINT AS h FROM x7)"""
+
+
+#: All pairs of distinct fingerprints.
+SIMHASH_DEDUP = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({LOWERED}, ''), {WORD}) AS ws FROM documents),
+g AS (SELECT r, unnest(list_transform(range(1, greatest(len(ws) - 1, 2)), lambda i: array_to_string(ws[i:i + 2], ' '))) AS sh FROM w WHERE len(ws) > 0),
+texts AS (SELECT DISTINCT sh FROM g),
+{_xxh64("texts", 42)},
+p AS (SELECT r, {" + ".join(f"CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {1 << k}::UBIGINT ELSE 0 END" for k in range(64))} AS fp FROM g JOIN hashed USING (sh) GROUP BY r),
+f AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM w LEFT JOIN p USING (r)),
+n AS (SELECT fp, min(doc_id) AS low FROM f GROUP BY fp),
+links AS (SELECT a.fp AS a, b.fp AS b, b.low FROM n a JOIN n b ON bit_count(xor(a.fp, b.fp)::BIT) <= 3),
+reach AS (SELECT a, b, low FROM links UNION SELECT r.a, l.b, l.low FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS fp, min(low) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN c USING (fp)
+"""
+
 ORACLES = {
     "op1_minhash_dedup": MINHASH_DEDUP,
     "op5_format_chats": FORMAT_CHATS,
     "op6_warc_archive": WARC_ARCHIVE,
     "op9_mix_sources": MIX_SOURCES,
     "op10_quality_rules": QUALITY_RULES,
+    "op11_simhash_dedup": SIMHASH_DEDUP,
     "op12_importance_resampling": IMPORTANCE_RESAMPLING,
     "op13_spelling_variants": SPELLING_VARIANTS,
 }
