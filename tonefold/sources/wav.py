@@ -8,7 +8,7 @@ metadata alone is read without decoding a sample.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from tonefold.operators.metadata import METADATA, fields
 from tonefold.operators.signals import in_rows  # noqa: F401  the form that is written
 
 FIELDS = fields("path string, sample_rate int, num_channels int, bits_per_sample int, num_frames bigint")
-READ = T.StructType([*FIELDS, T.StructField("metadata", METADATA), T.StructField("info", T.MapType(T.StringType(), T.StringType())), T.StructField("problem", T.StringType())])
+READ = T.StructType([*FIELDS, T.StructField("metadata", METADATA), T.StructField("info", T.MapType(T.StringType(), T.StringType())), T.StructField("problem", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
 #: Depths that a file can have, of which these are IEEE floats.
 DEPTHS, FLOATS = (8, 16, 24, 32, 64), (32, 64)
 #: Flags of the acid chunk, and loop types of the smpl chunk by the record's (forward, backward, ping-pong).
@@ -73,11 +73,11 @@ def decoded(data: bytes | memoryview, bits: int, floats: bool) -> np.ndarray:
     return (values / 2.0 ** (bits - 1)).astype(np.float32).astype(np.float64)
 
 
-def encoded(samples: np.ndarray, bits: int) -> bytes:
-    """Samples as a file holds them. Whole numbers are scaled down together where one would clip, but not those of 24 bits."""
+def encoded(samples: np.ndarray, bits: int, peak: float | None = None) -> bytes:
+    """Samples as a file holds them. Whole numbers are scaled down together where one would clip, but not those of 24 bits: peak is the whole file's, these samples' own if not given."""
     if bits in FLOATS:
         return samples.astype("<f4" if bits == 32 else "<f8").tobytes()
-    peak = np.abs(samples).max(initial=0)
+    peak = np.abs(samples).max(initial=0) if peak is None else peak
     x = samples if bits == 24 or peak <= 1 else samples * (1 / peak)
     if bits == 8:
         return ((x + 1) / 2 * 255).astype(np.uint8).tobytes()
@@ -91,47 +91,53 @@ def text_of(body: memoryview) -> str | None:
     return bytes(body).split(b"\0")[0].decode("utf-8", "replace") or None
 
 
-def metadata_of(found: list[tuple[bytes, memoryview]], frames: int) -> tuple[dict | None, dict[str, str]]:
-    """(the record, INFO texts). Names come by cue from labels; what leaves the signal is left out; the root note is the inst, else the smpl, else the acid chunk's."""
+def metadata_of(found: Iterable[tuple[bytes, memoryview]], frames: int) -> tuple[dict | None, dict[str, str], list[str]]:
+    """(the record, INFO texts, warnings). A chunk that can't be read is left out with a warning, and the others count.
+
+    Names come by cue from labels; what leaves the signal is left out; the root note is the inst, else the smpl, else the acid chunk's.
+    """
     cues: dict[int, int] = {}
-    labels, regions, loops, info, roots, sampler, timing = [], [], [], {}, {}, None, None
+    labels, regions, loops, info, roots, parts, warnings = [], [], [], {}, {}, {}, []
     for kind, body in found:
-        if kind == b"cue ":
-            for k in range(int.from_bytes(body[:4], "little")):
-                point = struct.unpack("<6I", body[4 + 24 * k : 28 + 24 * k])
-                cues.setdefault(point[0], point[5])
-        elif kind == b"smpl":
-            head = struct.unpack("<9I", body[:36])
-            roots.setdefault("smpl", head[3])
-            loops += [struct.unpack("<6I", body[36 + 24 * k : 60 + 24 * k]) for k in range(head[7])]
-        elif kind == b"inst":
-            note, *rest = struct.unpack("<7b", body[:7])
-            roots.setdefault("inst", note)
-            sampler = dict(zip(("fine_tune_cents", "gain_db", "low_note", "high_note", "low_velocity", "high_velocity"), rest))
-        elif kind == b"acid":
-            flags, note, _, _, beats, lower, upper, tempo = struct.unpack("<IHHfIHHf", body[:24])
-            if flags & ROOT_SET:
-                roots.setdefault("acid", note)
-            timing = {"playback_type": 0 if flags & ONE_SHOT else 1, "num_beats": beats, "time_signature_denominator": lower, "time_signature_numerator": upper, "tempo": tempo}
-        elif kind == b"LIST":
-            for name, part in sub_chunks(body):
-                if bytes(body[:4]) == b"INFO":
-                    info[name.decode("latin-1")] = text_of(part) or ""
-                elif name == b"labl":
-                    labels.append((int.from_bytes(part[:4], "little"), text_of(part[4:])))
-                elif name == b"ltxt":
-                    cue, length = struct.unpack("<2I", part[:8])
-                    regions.append((cue, length, text_of(part[20:])))
+        try:
+            if kind == b"cue ":
+                points = [struct.unpack("<6I", body[4 + 24 * k : 28 + 24 * k]) for k in range(struct.unpack("<I", body[:4])[0])]
+                for point in points:
+                    cues.setdefault(point[0], point[5])
+            elif kind == b"smpl":
+                head = struct.unpack("<9I", body[:36])
+                loops += [struct.unpack("<6I", body[36 + 24 * k : 60 + 24 * k]) for k in range(head[7])]
+                roots.setdefault("smpl", head[3])
+            elif kind == b"inst":
+                note, *rest = struct.unpack("<7b", body[:7])
+                roots.setdefault("inst", note)
+                parts["sampler"] = dict(zip(("fine_tune_cents", "gain_db", "low_note", "high_note", "low_velocity", "high_velocity"), rest))
+            elif kind == b"acid":
+                flags, note, _, _, beats, lower, upper, tempo = struct.unpack("<IHHfIHHf", body[:24])
+                if flags & ROOT_SET:
+                    roots.setdefault("acid", note)
+                parts["timing"] = {"playback_type": 0 if flags & ONE_SHOT else 1, "num_beats": beats, "time_signature_denominator": lower, "time_signature_numerator": upper, "tempo": tempo}
+            elif kind == b"LIST":
+                for name, part in sub_chunks(body):
+                    if bytes(body[:4]) == b"INFO":
+                        info[name.decode("latin-1")] = text_of(part) or ""
+                    elif name == b"labl":
+                        labels.append((struct.unpack("<I", part[:4])[0], text_of(part[4:])))
+                    elif name == b"ltxt":
+                        cue, length = struct.unpack("<2I", part[:8])
+                        regions.append((cue, length, text_of(part[20:])))
+        except struct.error:
+            warnings.append(f"a {kind.decode('latin-1').strip()} chunk of {len(body)} bytes can't be read")
     named = [(cue, text) for cue, text in labels if text]
     first, last = dict(reversed(named)), dict(named)
     record = {
-        "midi_mapping": {"root_midi_note": next((roots[k] for k in ("inst", "smpl", "acid") if k in roots), 60), "sampler_mapping": sampler} if roots else None,
-        "timing_info": timing,
+        "midi_mapping": {"root_midi_note": next((roots[k] for k in ("inst", "smpl", "acid") if k in roots), 60), "sampler_mapping": parts.get("sampler")} if roots else None,
+        "timing_info": parts.get("timing"),
         "loops": [{"name": last.get(c), "type": SMPL_TYPES.index(t) if t in SMPL_TYPES else 0, "start_frame": a, "num_frames": b + 1 - a, "num_times_to_loop": n} for c, t, a, b, _, n in loops if a < frames and b < frames],
         "markers": [{"name": first.get(c), "start_frame": at} for c, at in cues.items() if at <= frames],
         "regions": [{"initial_marker_name": last.get(c), "name": name, "start_frame": cues[c], "num_frames": n} for c, n, name in regions if c in cues and cues[c] < frames and cues[c] + n <= frames],
     }
-    return (record if any(record.values()) else None), info
+    return (record if any(record.values()) else None), info, warnings
 
 
 def sub_chunks(body: memoryview) -> Iterator[tuple[bytes, memoryview]]:
@@ -142,22 +148,29 @@ def sub_chunks(body: memoryview) -> Iterator[tuple[bytes, memoryview]]:
         at += 8 + size + size % 2
 
 
+def form_of(fmt: bytes | memoryview, size: int) -> dict:
+    """tag, sample_rate, num_channels, bits_per_sample, block, num_frames from a fmt chunk's body and the bytes of samples. What no reader could use is a ValueError."""
+    tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", fmt[:16])
+    if tag == 0xFFFE:
+        tag = int.from_bytes(fmt[24:26], "little")
+    if tag not in (1, 3) or bits not in DEPTHS or (tag == 3 and bits not in FLOATS) or (tag == 1 and bits == 64) or not rate or not channels or block != channels * bits // 8 or size % block:
+        raise ValueError(f"format {tag} of {bits} bits, {channels} channels at {rate} frames a second in blocks of {block}, {size} bytes of samples")
+    return {"tag": tag, "sample_rate": rate, "num_channels": channels, "bits_per_sample": bits, "block": block, "num_frames": size // block}
+
+
 def parsed(content: bytes, with_samples: bool) -> dict:
-    """One file's fields. What can't be read gives a problem and nulls."""
+    """One file's fields. What can't be read gives a problem and nulls; metadata that can't be read gives warnings."""
     try:
         found = list(chunks(content))
         by_id = dict(reversed(found))
-        tag, channels, rate, _, block, bits = struct.unpack("<HHIIHH", by_id[b"fmt "][:16])
-        if tag == 0xFFFE:
-            tag = int.from_bytes(by_id[b"fmt "][24:26], "little")
         data = by_id[b"data"]
-        frames = len(data) // block
-        if tag not in (1, 3) or bits not in DEPTHS or block * frames != len(data):
-            raise ValueError(f"format {tag} of {bits} bits, {len(data)} bytes of samples")
-        record, info = metadata_of(found, frames)
-        out = {"sample_rate": rate, "num_channels": channels, "bits_per_sample": bits, "num_frames": frames, "metadata": record, "info": list(info.items()), "problem": None}
-        return out | ({"samples": decoded(data, bits, tag == 3)} if with_samples else {})
-    except (ValueError, KeyError, struct.error) as e:
+        form = form_of(by_id[b"fmt "], len(data))
+        record, info, warnings = metadata_of(found, form["num_frames"])
+        out = form | {"metadata": record, "info": list(info.items()), "problem": None, "warnings": warnings}
+        return out | ({"samples": decoded(data, form["bits_per_sample"], form["tag"] == 3)} if with_samples else {})
+    except KeyError as e:
+        return {"problem": f"no {e.args[0].decode().strip()} chunk"}
+    except (ValueError, struct.error) as e:
         return {"problem": str(e)}
 
 
@@ -216,12 +229,24 @@ def metadata_chunks(record: dict | None, info: dict[str, str] | None, rate: int)
     return out + (chunk(b"LIST", b"adtl" + adtl) if adtl else b"")
 
 
-def file_of(samples: np.ndarray, channels: int, rate: int, bits: int, record: dict | None = None, info: dict[str, str] | None = None) -> bytes:
-    """A WAV file's bytes."""
+def head_of(frames: int, channels: int, rate: int, bits: int, record: dict | None = None, info: dict[str, str] | None = None) -> bytes:
+    """A WAV file's bytes up to its samples, of which an odd number ends with a byte of 0."""
     block = channels * bits // 8
+    size = frames * block
+    if bits not in DEPTHS or rate <= 0 or channels <= 0:
+        raise ValueError(f"no WAV file has {channels} channels of {bits} bits at {rate} frames a second")
     fmt = struct.pack("<HHIIHH", 3 if bits in FLOATS else 1, channels, rate, rate * block, block, bits)
-    body = b"WAVE" + chunk(b"fmt ", fmt) + metadata_chunks(record, info, rate) + chunk(b"data", encoded(samples, bits))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    body = b"WAVE" + chunk(b"fmt ", fmt) + metadata_chunks(record, info, rate)
+    total = len(body) + 8 + size + size % 2
+    if total >= 1 << 32:
+        raise ValueError(f"{size} bytes of samples are too many for a WAV file")
+    return b"RIFF" + struct.pack("<I", total) + body + b"data" + struct.pack("<I", size)
+
+
+def file_of(samples: np.ndarray, channels: int, rate: int, bits: int, record: dict | None = None, info: dict[str, str] | None = None) -> bytes:
+    """A WAV file's bytes."""
+    body = encoded(samples, bits)
+    return head_of(len(samples) // channels, channels, rate, bits, record, info) + body + b"\0" * (len(body) % 2)
 
 
 def with_content(rows: DataFrame, bits: Column | None = None) -> DataFrame:
