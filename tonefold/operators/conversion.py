@@ -37,8 +37,9 @@ def conversion(files: DataFrame, rate: int | None = None, depth: int | None = No
     changed = {"sample_rate": new, "num_frames": (n * (new / old)).cast("bigint"), "edited": edited}
     changed |= {"bits_per_sample": F.lit(depth)} if depth else {}
     changed |= {"format": F.lit(kind)} if kind else {}
-    changed |= {"metadata": stretched_record(F.col("metadata"), new / old)} if "metadata" in files.columns else {}
-    return files.withColumns(changed)
+    # The record first: in one step, the old rate within its lambdas would mean the new one.
+    rows = files.withColumn("metadata", stretched_record(F.col("metadata"), new / old)) if "metadata" in files.columns else files
+    return rows.withColumns(changed)
 
 
 def write_plan(files: DataFrame, copies: bool = False) -> DataFrame:

@@ -217,7 +217,7 @@ def metadata_chunks(record: dict | None, info: dict[str, str] | None, rate: int)
         out += chunk(b"inst", struct.pack("<7b", *values))
     if loops or (mapping and not timing and not mapping["sampler_mapping"]):
         head = struct.pack("<9I", 0, 0, int(1 / rate * 1e9), mapping["root_midi_note"] if mapping else 60, 0, 0, 0, len(loops), 0)
-        out += chunk(b"smpl", head + b"".join(struct.pack("<6I", take(x["name"], x["start_frame"]), SMPL_TYPES[x["type"]], x["start_frame"], x["start_frame"] + x["num_frames"] - 1, 0, x["num_times_to_loop"]) for x in loops))
+        out += chunk(b"smpl", head + b"".join(struct.pack("<6I", take(x["name"], x["start_frame"]), SMPL_TYPES[x["type"] or 0], x["start_frame"], x["start_frame"] + x["num_frames"] - 1, 0, x["num_times_to_loop"] or 0) for x in loops))
     for x in record.get("regions") or []:
         text = x["name"].encode() + b"\0" if x["name"] else b""
         adtl += chunk(b"ltxt", struct.pack("<2I4s4H", take(x["initial_marker_name"], x["start_frame"]), x["num_frames"], b"beat", 0, 0, 0, 0) + text)
