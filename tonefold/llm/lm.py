@@ -9,8 +9,8 @@ Scores are normalised exactly, by a matrix product over the classes and one over
 each class.
 
 Training is noise-contrastive estimation in numpy. Copies of the model each read their own part
-of the texts as a stream and draw a fixed share of its tokens, so that draws, and copies, grow
-with the corpus; after each round the copies are averaged, by slices and in a tree.
+of the texts as a stream and train on all of its tokens, so that steps, and copies, grow with
+the corpus; after each round the copies are averaged, by slices and in a tree.
 
 Tokens outside the head share one class, inside which a token has its add-one share of the
 counts. Tokens are bytes; the end of a text is the empty token.
@@ -145,14 +145,19 @@ def head_of(counts: DataFrame, most: int) -> Head:
 
 
 def stepped(value: np.ndarray, total: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """An AdaGrad step of the named rows; gradients of one row add up."""
+    """An AdaGrad step of the named rows; gradients of one row add up: sorted by row, they are differences of running sums."""
     order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-    ids, added = sorted_rows[first], np.add.reduceat(g[order], first)
-    sums = total[ids] + added**2
+    rows = rows[order]
+    last = np.flatnonzero(np.concatenate((rows[1:] != rows[:-1], [True])))
+    added = g[order]
+    np.cumsum(added, axis=0, out=added)
+    added, ids = added[last], rows[last]
+    added[1:] -= added[:-1].copy()
+    sums = total[ids] + added * added
     total[ids] = sums
-    value[ids] -= rate * added / np.sqrt(sums)
+    added *= rate
+    added /= np.sqrt(sums, out=sums)
+    value[ids] -= added
 
 
 @dataclass
@@ -220,75 +225,112 @@ def largest(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))
 
 
+#: Tokens that follow one another in a batch.
+RUN = 64
+
+
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad on one copy of the model."""
+    """Noise-contrastive estimation by AdaGrad on one copy of the model.
+
+    A batch is many runs of RUN tokens from all over a block. Within a run, the vector of a word serves the next token as
+    that of the word before and the one after that as that of the word two before, so it is fetched, and moved, once.
+    """
 
-    def __init__(self, start: Bilinear, layout: Layout, seed: list[int], batch: int = 2048, noise: int = 64, inner_batch: int = 8192, inner_noise: int = 16, rate: float = 0.15):
+    def __init__(self, start: Bilinear, layout: Layout, seed: list[int], batch: int = 4096, noise: int = 64, inner_noise: int = 16, rate: float = 0.15):
         self.rng, self.layout, self.totals = np.random.default_rng(seed), layout, layout.totals
         self.m = Bilinear(*(x.copy() for x in start.parts()))
         self.sums = [np.full_like(x, 1e-2) for x in self.m.parts()]
-        self.batch, self.noise, self.inner_batch, self.inner_noise, self.rate = batch, noise, inner_batch, inner_noise, rate
+        self.runs, self.noise, self.inner_noise, self.rate = max(1, batch // RUN), noise, inner_noise, rate
+        self.kind, self.many = layout.kind.astype(np.int32), layout.size[layout.kind] > 1
         share = self.totals / self.totals.sum()
         self.noise_edges = np.cumsum(share)
         self.log_noise = np.log(noise * share).astype(np.float32)
         self.log_inner = np.log(inner_noise * np.diff(layout.edges) / self.totals[layout.kind]).astype(np.float32)
         self.drawn = 0
 
-    def feed(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, share: float) -> None:
-        """Draws `share` of a block's tokens, in any order, and takes them in batches; those in classes of many words then in larger ones, class by class."""
-        at = np.flatnonzero(self.rng.random(len(w)) < share)
-        self.rng.shuffle(at)
-        for a in range(0, len(at), self.inner_batch):
-            rows = at[a : a + self.inner_batch]
-            for b in range(0, len(rows), self.batch):
-                some = rows[b : b + self.batch]
-                self.step(self.layout.kind[w[some]], one[some], two[some])
-            rows = rows[self.layout.size[self.layout.kind[w[rows]]] > 1]
-            if len(rows):
-                rows = rows[np.argsort(self.layout.kind[w[rows]], kind="stable")]
-                self.inner_step(w[rows], one[rows], two[rows])
-        self.drawn += len(at)
-
-    def moved(self, one: np.ndarray, two: np.ndarray, gp: np.ndarray) -> None:
-        """Takes the gradient of the predicted vectors to the context's."""
-        m, (s_context, s_weight, _, _) = self.m, self.sums
-        g_weight = np.stack([np.einsum("ij,ij->j", gp, m.context[x]) for x in (one, two)])
-        stepped(m.context, s_context, np.concatenate((one, two)), np.concatenate((gp * m.weight[0], gp * m.weight[1])), self.rate)
-        s_weight += g_weight**2
-        m.weight -= (self.rate / 10) * g_weight / np.sqrt(s_weight)
-
-    def step(self, kind: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """The classes of tokens after `one` and `two`, against noise that the batch shares."""
-        m = self.m
-        bad = np.minimum(np.searchsorted(self.noise_edges, self.rng.random(self.noise) * self.noise_edges[-1], side="right"), len(self.totals) - 1)
-        p, q, qn = m.predicted(one, two), m.top[kind], m.top[bad]
+    def feed(self, w: np.ndarray, begins: np.ndarray) -> None:
+        """Trains on all words of a block, each once, its runs in any order; begins marks the first word of each text."""
+        n = len(w)
+        runs = -(-n // RUN)
+        words, first = np.full(runs * RUN + 2, END_CLASS, np.int32), np.zeros(runs * RUN, bool)
+        words[2 : n + 2], first[:n] = w, begins
+        order = self.rng.permutation(runs)
+        for a in range(0, runs, self.runs):
+            at = order[a : a + self.runs, None] * RUN
+            self.step(words[at + np.arange(RUN + 2)], first[at + np.arange(RUN)], (at + np.arange(RUN) < n).ravel())
+        self.drawn += n
+
+    def step(self, words: np.ndarray, begins: np.ndarray, real: np.ndarray) -> None:
+        """words: two words before a run and its own, a row each. The end of the text before stands for what precedes a text; real marks words that aren't padding."""
+        m, dims = self.m, self.m.context.shape[1]
+        vectors, begin = m.context[words], begins.nonzero()
+        one, two = vectors[:, 1:-1], vectors[:, :-2].copy()
+        two[begin] = m.context[END_CLASS]
+        p = np.empty((*begins.shape, dims + 1), np.float32)
+        np.multiply(one, m.weight[0], out=p[:, :, :-1])
+        p[:, :, :-1] += two * m.weight[1]
+        p[:, :, -1] = 1
+        p, w = p.reshape(-1, dims + 1), words[:, 2:].ravel()
+
+        gp = self.classes(p, w, real)
+        inside = np.flatnonzero(self.many[w] & real)
+        if len(inside):
+            inside = inside[np.argsort(self.kind[w[inside]], kind="stable")]
+            gp[inside] += self.members(p[inside], w[inside])
+
+        gp = gp[:, :-1].reshape(*begins.shape, dims)
+        g_weight = np.stack([np.einsum("rtd,rtd->d", gp, x) for x in (one, two)])
+        g = np.zeros_like(vectors)
+        np.multiply(gp, m.weight[0], out=g[:, 1:-1])
+        further = gp * m.weight[1]
+        before_all = further[begin].sum(0)
+        further[begin] = 0
+        g[:, :-2] += further
+        stepped(m.context, self.sums[0], np.append(words.ravel(), np.int32(END_CLASS)), np.concatenate((g.reshape(-1, dims), before_all[None])), self.rate)
+        self.sums[1] += g_weight**2
+        m.weight -= (self.rate / 10) * g_weight / np.sqrt(self.sums[1])
+
+    def classes(self, p: np.ndarray, w: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Moves the classes of words w with predicted vectors p, against noise that the batch shares; the gradient of p."""
+        m, kind = self.m, self.kind[w]
+        bad = np.minimum(np.searchsorted(self.noise_edges, self.rng.random(self.noise) * self.noise_edges[-1], side="right"), len(self.totals) - 1).astype(np.int32)
+        q, qn = m.top[kind], m.top[bad]
         good = sigmoid(np.einsum("ij,ij->i", p, q) - self.log_noise[kind]) - 1
-        false = sigmoid(p @ qn.T - self.log_noise[bad])
-        gp = good[:, None] * q + false @ qn
-        self.moved(one, two, gp[:, :-1])
+        false = p @ qn.T
+        false = sigmoid(np.subtract(false, self.log_noise[bad], out=false))
+        if not real.all():
+            good[~real], false[~real] = 0, 0
+        q *= good[:, None]
         stepped(m.top, self.sums[2], np.concatenate((kind, bad)), np.concatenate((good[:, None] * p, false.T @ p)), self.rate)
+        q += false @ qn
+        return q
 
-    def inner_step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """The words inside their classes, by which they are sorted, against noise that a class shares."""
-        m, layout, noise = self.m, self.layout, self.inner_noise
-        kind = layout.kind[w]
+    def members(self, p: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Moves words w, sorted by class, inside their classes, against noise that a class shares; the gradient of p."""
+        m, layout, noise, kind = self.m, self.layout, self.inner_noise, self.kind[w]
         starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
         first, total = layout.start[kind[starts]], self.totals[kind[starts]]
         bad = np.searchsorted(layout.edges, layout.edges[first][:, None] + self.rng.random((len(starts), noise)) * total[:, None], side="right") - 1
-        bad = np.clip(bad, first[:, None], (first + layout.size[kind[starts]] - 1)[:, None])
-        p, q, qn, log_bad = m.predicted(one, two), m.inner[w], m.inner[bad], self.log_inner[bad]
+        bad = np.clip(bad, first[:, None], (first + layout.size[kind[starts]] - 1)[:, None]).astype(np.int32)
+        q, qn, log_bad = m.inner[w], m.inner[bad], self.log_inner[bad]
         good = sigmoid(np.einsum("ij,ij->i", p, q) - self.log_inner[w]) - 1
-        gp, g_bad = good[:, None] * q, np.empty_like(qn)
-        for k, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(w)))):
-            false = sigmoid(p[a:b] @ qn[k].T - log_bad[k])
-            gp[a:b] += false @ qn[k]
+        q *= good[:, None]
+        g_bad = np.empty_like(qn)
+        for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(w)])):
+            false = p[a:b] @ qn[k].T
+            false = sigmoid(np.subtract(false, log_bad[k], out=false))
+            q[a:b] += false @ qn[k]
             g_bad[k] = false.T @ p[a:b]
-        self.moved(one, two, gp[:, :-1])
         stepped(m.inner, self.sums[3], np.concatenate((w, bad.ravel())), np.concatenate((good[:, None] * p, g_bad.reshape(-1, p.shape[1]))), self.rate)
+        return q
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """Of float32 values, which are used up."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -303,10 +345,10 @@ class Scorer:
     other_types: int
 
 
-def train(texts: DataFrame, head_size: int = 65_536, classes: int = 256, dims: int = 32, rounds: int = 2, share: float = 0.3, copies: int | None = None) -> tuple[Scorer, DataFrame]:
+def train(texts: DataFrame, head_size: int = 65_536, classes: int = 256, dims: int = 32, rounds: int = 2, copies: int | None = None) -> tuple[Scorer, DataFrame]:
     """(the scorer, counts of all tokens) from every row of texts(text); null texts count as empty.
 
-    Counts cover every text; a text trains in one of the rounds, which draw `share` of its tokens. Memory is bounded by
+    Counts cover every text, and every token of every text trains, once: a text in one of the rounds. Memory is bounded by
     head_size, whatever the corpus. There is a copy of the model for each PART tokens.
     """
     bounded_batches(texts.sparkSession)
@@ -320,11 +362,11 @@ def train(texts: DataFrame, head_size: int = 65_536, classes: int = 256, dims: i
     model = Bilinear.start(layout, dims)
     for k in range(rounds):
         own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        model = averaged(own.coalesce(copies), copies, head, model, layout, k, share)
+        model = averaged(own.coalesce(copies), copies, head, model, layout, k)
     return Scorer(head, layout, model, end_count, other, head.distinct - len(head.tokens) - (end_count > 0)), counts
 
 
-def averaged(texts: DataFrame, copies: int, head: Head, model: Bilinear, layout: Layout, round_: int, share: float) -> Bilinear:
+def averaged(texts: DataFrame, copies: int, head: Head, model: Bilinear, layout: Layout, round_: int) -> Bilinear:
     """One round: each partition of the texts trains a copy; the copies' mean, weighted by draws, taken slice by slice."""
     shared = texts.sparkSession.sparkContext.broadcast((head, model, layout))
 
@@ -334,8 +376,10 @@ def averaged(texts: DataFrame, copies: int, head: Head, model: Bilinear, layout:
         trainer = Trainer(start, words, [round_, part])
         for batch in batches:
             for _, code, distinct, sizes in split_texts(batch.column(0)):
-                _, w, before, further = words_of.stream(code, distinct, sizes)
-                trainer.feed(w, before, further, share)
+                _, w, _, _ = words_of.stream(code, distinct, sizes)
+                begins = np.zeros(len(w), bool)
+                begins[np.cumsum(sizes + 1) - 1 - sizes] = True
+                trainer.feed(w, begins)
         if trainer.drawn:
             moved = np.concatenate([(x - y).ravel() for x, y in zip(trainer.m.parts(), start.parts())]).astype(np.float16)
             pieces = pa.array([x.tobytes() for x in np.array_split(moved, SLICES)], pa.binary())
