@@ -143,11 +143,8 @@ def neighbours() -> None:
             UNION ALL SELECT e.path, e.frame, {k["b0"]} * e.value + {k["b1"]} * f.x + {k["b2"]} * f.x1 - {k["a1"]} * f.y - {k["a2"]} * f.y1, f.y, e.value, f.x FROM f JOIN e ON e.path = f.path AND e.frame = f.frame + 1)
             SELECT path, frame, 0::BIGINT AS channel, round(y, 6) + 0.0 AS value FROM f"""
         add(f"{kind}pass", lambda spark, d, kind=kind: samples(O.pass_filter(V.signals(spark, d), kind, 8)), sql)
-    ratio, windows = 2 ** (-700 / 1200), O.WINDOW
-    reach = O.TAPS / ratio
-    window = " + ".join(f"{w!r} * cos({k} * pi() * d / {reach!r})" for k, w in enumerate(windows))
-    add("tune_samples", lambda spark, d: samples(O.tuned(V.signals(spark, d), 700)), f"""WITH {V.signals_sql(1)}, o AS (SELECT path, value, o.frame AS frame, o.frame / {ratio!r} - e.frame AS d FROM e JOIN (SELECT unnest(range(64)) AS frame) o ON o.frame < trunc(nf * {ratio!r}))
-        SELECT path, frame, 0::BIGINT AS channel, round(sum(value * {ratio!r} * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * {ratio!r} * d) / (pi() * {ratio!r} * d) END * ({window})), 6) + 0.0 AS value FROM o GROUP BY path, frame""")
+    ratio = 2 ** (-700 / 1200)
+    add("tune_samples", lambda spark, d: O.tuned(V.signals(spark, d), 700).select("path", "frame", "channel", (F.round("value", 4) + F.lit(0.0)).alias("value")), tuned_sql(ratio))
     add("tune_length", lambda spark, d: O.tuned_length(V.signals(spark, d), 700), f"WITH {V.signals_sql(1)} SELECT path, trunc(any_value(nf) * {ratio!r})::BIGINT AS frames FROM e GROUP BY path")
     # A set of one file is a search in its own frames only: no frame means no change.
     on_signals("zcross_no_search", lambda df: samples(O.zcross_offset(df, "0")), "SELECT path, frame, channel, round(value, 6) + 0.0 AS value FROM e")
@@ -160,15 +157,40 @@ def neighbours() -> None:
         add(f"filter_{kind}", lambda spark, d, kind=kind: samples(O.filtered(V.signals(spark, d), kind, 8, gain_db=6)), sql)
 
 
+def tuned_sql(ratio: float) -> str:
+    """The 64 frames of each signal read off at every 1 / ratio, by the continuous Kaiser-windowed sinc that the resampler's stages amount to.
+
+    Its cut lies in the middle of the last 2 % of the lower rate's band, its length is Kaiser's for 183 dB over that transition, and I0 is a sum.
+    """
+    attenuation = 183.0
+    beta, half, cut = 0.1102 * (attenuation - 8.7), math.ceil((attenuation - 7.95) / (2.285 * math.pi * 0.02) / 2), 0.99 * min(1.0, ratio)
+    half = math.ceil(half / min(1.0, ratio))
+    bessel = "list_sum(list_transform(range(0, 70), lambda i: exp(2 * (i * ln(greatest({0}, 1e-300) / 2) - lgamma(i + 1)))))"
+    return f"""WITH {V.signals_sql(1)}, t AS (SELECT m.k AS m, j.k AS j, m.k / {ratio!r} - j.k AS d FROM (SELECT unnest(range({int(64 * ratio)})) AS k) m, (SELECT unnest(range(64)) AS k) j),
+        h AS (SELECT m, j, {cut!r} * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * {cut!r} * d) / (pi() * {cut!r} * d) END * {bessel.format(f"({beta!r} * sqrt(1 - d * d / {float(half * half)!r}))")} / {bessel.format(f"{beta!r}::DOUBLE")} AS w FROM t)
+        SELECT path, m AS frame, 0::BIGINT AS channel, round(sum(value * w), 4) + 0.0 AS value FROM e JOIN h ON j = frame GROUP BY path, m"""
+
+
 #: Second-order filters at 8 of 64 Hz, Q 0.70710678118, 6 dB: kind, b and a as worked out apart from the operator.
 _W, _A = 2 * math.pi * 8 / 64, 10 ** (6 / 40)
 _C, _L = math.cos(_W), math.sin(_W) / (2 * 0.70710678118)
+_R = 2 * math.sqrt(_A) * _L
+_LOW, _HIGH = _A + 1 + (_A - 1) * _C + _R, _A + 1 - (_A - 1) * _C + _R
 FILTERS = [
     ("band", (_L / (1 + _L), 0.0, -_L / (1 + _L)), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
+    ("band_skirt", (math.sin(_W) / 2 / (1 + _L), 0.0, -math.sin(_W) / 2 / (1 + _L)), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
     ("notch", (1 / (1 + _L), -2 * _C / (1 + _L), 1 / (1 + _L)), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
     ("all", ((1 - _L) / (1 + _L), -2 * _C / (1 + _L), 1.0), (-2 * _C / (1 + _L), (1 - _L) / (1 + _L))),
     ("peak", ((1 + _L * _A) / (1 + _L / _A), -2 * _C / (1 + _L / _A), (1 - _L * _A) / (1 + _L / _A)), (-2 * _C / (1 + _L / _A), (1 - _L / _A) / (1 + _L / _A))),
-]
+    (
+        "low_shelf", (_A * (_A + 1 - (_A - 1) * _C + _R) / _LOW, 2 * _A * (_A - 1 - (_A + 1) * _C) / _LOW, _A * (_A + 1 - (_A - 1) * _C - _R) / _LOW),
+        (-2 * (_A - 1 + (_A + 1) * _C) / _LOW, (_A + 1 + (_A - 1) * _C - _R) / _LOW),
+    ),
+    (
+        "high_shelf", (_A * (_A + 1 + (_A - 1) * _C + _R) / _HIGH, -2 * _A * (_A - 1 + (_A + 1) * _C) / _HIGH, _A * (_A + 1 + (_A - 1) * _C - _R) / _HIGH),
+        (2 * (_A - 1 - (_A + 1) * _C) / _HIGH, (_A + 1 - (_A - 1) * _C - _R) / _HIGH),
+    ),
+]
 
 
 def grouped() -> None:
