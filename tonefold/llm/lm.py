@@ -114,14 +114,17 @@ class Layout:
 
     @staticmethod
     def of(n: np.ndarray, classes: int) -> Layout:
-        """For words with counts n, END and OTHER first: classes of one word as far as `classes` goes, the rest in classes of many."""
+        """For words with counts n, END and OTHER first: classes of one word as far as `classes` goes, the rest in classes of many.
+
+        Sizes grow as the root of the rank, as what a word costs is its share of tokens times its class's size, and shares fall as ranks rise.
+        """
         v = len(n)
         many = 0 if v <= classes else max(1, min(int(np.ceil(np.sqrt(v))), (classes - FIRST) * 3 // 4))
         single = v if not many else max(FIRST, classes - many)
-        each = -(-(v - single) // many) if many else 1
-        kind = np.concatenate((np.arange(single), single + np.arange(v - single) // each)).astype(np.int64)
-        size = np.bincount(kind)
-        return Layout(kind, np.cumsum(size) - size, size, np.concatenate(([0.0], np.cumsum(np.maximum(n, 1.0)))))
+        roots = np.linspace(np.sqrt(single), np.sqrt(v), many + 1) if many else np.array([np.sqrt(v)])
+        edges = np.unique(np.concatenate((np.arange(single), np.round(roots**2).astype(np.int64))))
+        size = np.diff(edges)
+        return Layout(np.repeat(np.arange(len(size)), size), edges[:-1], size, np.concatenate(([0.0], np.cumsum(np.maximum(n, 1.0)))))
 
     @property
     def totals(self) -> np.ndarray:
@@ -236,7 +239,7 @@ class Trainer:
     that of the word before and the one after that as that of the word two before, so it is fetched, and moved, once.
     """
 
-    def __init__(self, start: Bilinear, layout: Layout, seed: list[int], batch: int = 4096, noise: int = 64, inner_noise: int = 16, rate: float = 0.15):
+    def __init__(self, start: Bilinear, layout: Layout, seed: list[int], batch: int = 8192, noise: int = 64, inner_noise: int = 16, rate: float = 0.15):
         self.rng, self.layout, self.totals = np.random.default_rng(seed), layout, layout.totals
         self.m = Bilinear(*(x.copy() for x in start.parts()))
         self.sums = [np.full_like(x, 1e-2) for x in self.m.parts()]
@@ -345,11 +348,11 @@ class Scorer:
     other_types: int
 
 
-def train(texts: DataFrame, head_size: int = 65_536, classes: int = 256, dims: int = 32, rounds: int = 2, copies: int | None = None) -> tuple[Scorer, DataFrame]:
+def train(texts: DataFrame, head_size: int = 65_536, classes: int = 192, dims: int = 32, rounds: int = 2, copies: int | None = None, **steps) -> tuple[Scorer, DataFrame]:
     """(the scorer, counts of all tokens) from every row of texts(text); null texts count as empty.
 
     Counts cover every text, and every token of every text trains, once: a text in one of the rounds. Memory is bounded by
-    head_size, whatever the corpus. There is a copy of the model for each PART tokens.
+    head_size, whatever the corpus. There is a copy of the model for each PART tokens; steps are the Trainer's options.
     """
     bounded_batches(texts.sparkSession)
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -362,18 +365,18 @@ def train(texts: DataFrame, head_size: int = 65_536, classes: int = 256, dims: i
     model = Bilinear.start(layout, dims)
     for k in range(rounds):
         own = texts.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        model = averaged(own.coalesce(copies), copies, head, model, layout, k)
+        model = averaged(own.coalesce(copies), copies, head, model, layout, k, steps)
     return Scorer(head, layout, model, end_count, other, head.distinct - len(head.tokens) - (end_count > 0)), counts
 
 
-def averaged(texts: DataFrame, copies: int, head: Head, model: Bilinear, layout: Layout, round_: int) -> Bilinear:
+def averaged(texts: DataFrame, copies: int, head: Head, model: Bilinear, layout: Layout, round_: int, steps: dict) -> Bilinear:
     """One round: each partition of the texts trains a copy; the copies' mean, weighted by draws, taken slice by slice."""
     shared = texts.sparkSession.sparkContext.broadcast((head, model, layout))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, start, words = shared.value
         part = TaskContext.get().partitionId()
-        trainer = Trainer(start, words, [round_, part])
+        trainer = Trainer(start, words, [round_, part], **steps)
         for batch in batches:
             for _, code, distinct, sizes in split_texts(batch.column(0)):
                 _, w, _, _ = words_of.stream(code, distinct, sizes)
