@@ -348,7 +348,7 @@ class Scorer:
     other_types: int
 
 
-def train(texts: DataFrame, head_size: int = 65_536, classes: int = 192, dims: int = 32, rounds: int = 2, copies: int | None = None, **steps) -> tuple[Scorer, DataFrame]:
+def train(texts: DataFrame, head_size: int = 65_536, classes: int = 192, dims: int = 24, rounds: int = 2, copies: int | None = None, **steps) -> tuple[Scorer, DataFrame]:
     """(the scorer, counts of all tokens) from every row of texts(text); null texts count as empty.
 
     Counts cover every text, and every token of every text trains, once: a text in one of the rounds. Memory is bounded by
