@@ -114,6 +114,18 @@ def test_drawing_odd_vectors(spark):
     assert got[1].pixels == got[7].pixels != got[5].pixels and len(got[None].pixels) == got[None].height ** 2
 
 
-def test_query(spark):
-    rows = QUERIES["op7_media_copies"](spark, SF).collect()
-    assert len(rows) == 500 and sum(r.kept for r in rows) == len({r.component_id for r in rows})
+def test_query_links_planted_edits_with_their_pictures_alone(spark):
+    """Through the tables: at least 0.9 of the edits of each kind, and nothing else."""
+    rows = {r.vec_id: r for r in QUERIES["op7_media_copies"](spark, SF).collect()}
+    edits = {i: (i - media.PLANTED) for i in rows if i >= media.PLANTED}
+    assert len(rows) - len(edits) == 500 and len(edits) == 4 * sum(i % media.EACH == 0 for i in rows if i < media.PLANTED)
+    for k, kind in enumerate(media.EDITS):
+        assert np.mean([rows[i].component_id == n // 4 for i, n in edits.items() if n % 4 == k]) >= 0.9, kind
+    assert all(r.component_id == i for i, r in rows.items() if i < media.PLANTED)
+    assert all(r.component_id in (i, edits[i] // 4) for i, r in rows.items() if i in edits)
+
+
+def test_edits_of_odd_rows(spark):
+    images = spark.createDataFrame([(0, 4, 4, bytes(16)), (50, None, None, None), (100, 4, 4, b"x"), (None, 4, 4, bytes(16)), (-50, 2, 3, bytes(6)), (7, 4, 4, bytes(16))], "image_id long, height int, width int, pixels binary")
+    more = [(r.image_id, r.height, r.width) for r in media.with_edits(images).filter(f"image_id > {media.PLANTED // 2}").collect()]
+    assert sorted(more) == sorted((media.PLANTED + 4 * i + k, *size) for i, sizes in ((0, [(4, 4)] * 4), (-50, [(2, 3), (2, 3), (3, 2), (2, 3)])) for k, size in enumerate(sizes))

@@ -311,7 +311,7 @@ def edited_copies(images: DataFrame, image_id: str = "image_id", pixels: str = "
 
 
 #: Side of a drawn picture in tiles, side of a tile in pixels, and how far a tile's grey deviates from mid grey.
-TILES, TILE, CONTRAST = 16, 3, 48
+TILES, TILE, CONTRAST = 14, 5, 48
 
 
 def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
@@ -333,3 +333,30 @@ def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), side, side, pa.array([x.tobytes() if ok else None for x, ok in zip(grey, v.is_valid().to_pylist())], pa.binary())], ["image_id", "height", "width", "pixels"])
 
     return rows.select(F.col(image_id).cast("long").alias("image_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(draw, "image_id long, height int, width int, pixels binary")
+
+
+#: Images that edits are made of: those whose id it divides. Ids of edits: PLANTED, then four for each image.
+EACH, PLANTED = 50, 1_000_000_000_000
+EDITS = {
+    "cropped": lambda x, rng: x[x.shape[0] // 16 : x.shape[0] - x.shape[0] // 16, x.shape[1] // 16 : x.shape[1] - x.shape[1] // 16],
+    "noisy": lambda x, rng: np.clip(np.rint(x + rng.normal(0, 10, x.shape)), 0, 255),
+    "turned": lambda x, rng: np.rot90(x),
+    "darker": lambda x, rng: np.rint(x * 0.7 + 20),
+}
+
+
+def with_edits(images: DataFrame, each: int = EACH) -> DataFrame:
+    """images(image_id, height, width, pixels) and, of those whose id `each` divides, EDITS as images of their own: PLANTED + 4 * id and the edit's place. Images without a picture have no edits."""
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for image, height, width, pixels in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(pixels, np.uint8).reshape(height, width)
+                for k, change in enumerate(EDITS.values()):
+                    y = change(x.astype(np.float64), np.random.default_rng([image & 0xFFFFFFFF, k])).astype(np.uint8)
+                    rows.append((PLANTED + 4 * image + k, *y.shape, y.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], batch.schema.names)
+
+    chosen = images.filter((F.col("image_id") % each == 0) & (F.length("pixels") == F.col("height") * F.col("width")))
+    return images.unionByName(chosen.mapInArrow(edit, images.schema))

@@ -68,9 +68,9 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited copies among the embeddings, each drawn as a picture: no table has images."""
+    """The edited copies among the embeddings, each drawn as a picture as no table has images, and among edits of every 50th."""
     images = media.drawn(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return media.edited_copies(images).withColumnRenamed("image_id", "vec_id")
+    return media.edited_copies(media.with_edits(images)).withColumnRenamed("image_id", "vec_id")
 
 
 def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
