@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonefold.llm.common import byte_column, unused
+from tonefold.llm.common import bounded_batches, byte_column, unused
 
 OPEN, CLOSE, AFTER_ROLE = "### ", "</turn>\n", ": "
 #: What may not stand inside a text as it is, and its escape. The backslash comes first.
@@ -103,6 +103,7 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         wide = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(conv_at.astype(np.int64)), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.diff(edges)), wide.cast(pa.string()), pa.ListArray.from_arrays(pa.array(loss_at), spans)], ["conv_id", "n_turns", "formatted", "loss"])
 
+    bounded_batches(turns.sparkSession)
     plain_role, plain_text = (F.coalesce(F.col(c), F.lit("")) for c in (role, text))
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), plain_role.alias("role"), plain_text.alias("plain"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "plain")
