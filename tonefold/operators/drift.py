@@ -141,10 +141,15 @@ def played(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sum(a * b for a, b in zip(w, p))
 
 
-def corrected(df: DataFrame, rows: DataFrame, seconds: float = 0.06) -> DataFrame:
-    """Signals along their chunks' targets (rows of analysed() with chunks of `seconds`); those without any good chunk stay."""
+def corrected(df: DataFrame, rows: DataFrame, seconds: float = 0.06, sets: DataFrame | None = None) -> DataFrame:
+    """Signals along their chunks' targets (rows of analysed() with chunks of `seconds`); those without any good chunk stay.
+
+    With sets(path, set_key, authority) all members of a set go along their authority's targets, so that they stay aligned; signals
+    in no set, and sets whose members differ in length, stay as they are.
+    """
     order = F.sort_array(F.collect_list(F.struct("chunk", "hz", "outlier", "ignored", F.coalesce("target", F.lit(0.0)).alias("target"))))
     plans = rows.groupBy("path").agg(order.alias("plan"), F.count_if(~F.col("ignored")).alias("good")).filter("good > 0").drop("good")
+    plans = plans if sets is None else O.of_authority(plans, sets, df)
     arrays = O.in_arrays(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

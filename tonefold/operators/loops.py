@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ CHUNK_MS, STRICT_MS, ALIKE_MS = 60, 0.227, 59
 NEAR_ZERO, ALIKE, LEAST_MATCH, LEAST_SECONDS, NEARLY_ALL = 0.1, 0.07, 70, 0.001, 99
 
 
+#: Samples after a crossing whose cells have to touch.
+CELL_SAMPLES = 3
+
+
 def crossings(df: DataFrame) -> DataFrame:
     """path, chunk, frame, sample: the frame of each chunk with the least sum of magnitudes (the first of equals), and its first channel's sample."""
     each = F.greatest(F.lit(1), (F.col("sample_rate") * (CHUNK_MS / 1000)).cast("bigint"))
@@ -30,9 +36,14 @@ def loop_matches(df: DataFrame, strictness: float = 50) -> DataFrame:
     length = (rate * (ALIKE_MS / 1000)).cast("int")
     after = lambda count: F.slice("samples", (F.col("frame") * n + 1).cast("int"), count)
     places = found.select("path", "chunk", "frame", "sample_rate", "num_frames", length.alias("length"), after(F.ceil(rate * (STRICT_MS / 1000) * n).cast("int")).alias("strict"), after(length * n).alias("long"))
-    a, b = places.select("path", "chunk", "frame", "strict"), places.select("path", F.col("chunk").alias("chunk2"), F.col("frame").alias("frame2"), F.col("strict").alias("strict2"), "length", "num_frames", "sample_rate")
+    # Samples that are near lie in one cell or in two that touch: crossings meet by the cells of their first few, in all neighbouring cells.
+    cell = [F.coalesce(F.floor(F.get("strict", k) / max(near, 1e-9)), F.lit(0)) for k in range(CELL_SAMPLES)]
+    around = F.array(*[F.struct(*[(c + d).alias(f"c{k}") for k, (c, d) in enumerate(zip(cell, step))]) for step in itertools.product((-1, 0, 1), repeat=CELL_SAMPLES)])
+    a = places.select("path", "chunk", "frame", "strict", F.explode(around).alias("cell"))
+    own = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(cell)])
+    b = places.select("path", F.col("chunk").alias("chunk2"), F.col("frame").alias("frame2"), F.col("strict").alias("strict2"), "length", "num_frames", "sample_rate", own.alias("cell"))
     far = (F.col("frame2") - F.col("frame")) >= F.floor((F.col("sample_rate") * (CHUNK_MS / 1000)).cast("bigint") / 4)
-    pairs = a.join(b, "path").filter((F.col("chunk2") > F.col("chunk")) & (F.col("frame2") + F.col("length") <= F.col("num_frames")) & far)
+    pairs = a.join(b, ["path", "cell"]).filter((F.col("chunk2") > F.col("chunk")) & (F.col("frame2") + F.col("length") <= F.col("num_frames")) & far)
     pairs = pairs.filter(F.forall(F.zip_with("strict", "strict2", lambda x, y: F.abs(x - y) < near), lambda ok: ok)).select("path", "frame", "frame2")
     stretch = places.select("path", "frame", "long")
     both = pairs.join(stretch, ["path", "frame"]).join(stretch.select("path", F.col("frame").alias("frame2"), F.col("long").alias("long2")), ["path", "frame2"])

@@ -87,24 +87,22 @@ def entries(lines: DataFrame) -> DataFrame:
 
 # The time axis
 def on_items(metadata: Column, change) -> Column:
-    """metadata with change(items, whether they have a length) for loops, markers and regions; null stays."""
-    for name in ("loops", "markers", "regions"):
-        metadata = with_field(metadata, name, change(metadata[name], name != "markers"))
-    return metadata
+    """metadata with change(items, whether they have a length) for loops, markers and regions, in one new record; null stays."""
+    fields = [(change(metadata[f.name], f.name != "markers") if f.name in ("loops", "markers", "regions") else metadata[f.name]).cast(f.dataType).alias(f.name) for f in METADATA]
+    return F.when(metadata.isNotNull(), F.struct(*fields).cast(METADATA))
 
 
 def stretched_record(metadata: Column, factor: Column) -> Column:
-    return F.when(metadata.isNotNull(), on_items(metadata, lambda items, lengths: stretched(items, factor, lengths)))
+    return on_items(metadata, lambda items, lengths: stretched(items, factor, lengths))
 
 
 def cut_record(metadata: Column, from_start: Column, num_frames: Column) -> Column:
     """After the signal was cut to num_frames and then lost from_start frames at its start."""
-    ended = on_items(metadata, lambda items, lengths: cut_end(items, num_frames, lengths))
-    return F.when(metadata.isNotNull(), on_items(ended, lambda items, lengths: cut_start(items, from_start)))
+    return on_items(metadata, lambda items, lengths: cut_start(cut_end(items, num_frames, lengths), from_start))
 
 
 def reversed_record(metadata: Column, num_frames: Column) -> Column:
-    return F.when(metadata.isNotNull(), on_items(metadata, lambda items, lengths: reversed_items(items, num_frames, lengths)))
+    return on_items(metadata, lambda items, lengths: reversed_items(items, num_frames, lengths))
 
 
 # Sampler mapping

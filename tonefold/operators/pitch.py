@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonefold.functions import scalars as S
+from tonefold.operators import blocks
 from tonefold.operators import signals as O
 from tonefold.operators.sets import blend_plan
 
@@ -56,9 +58,9 @@ def chunk_pitch(x: np.ndarray, rate: float) -> np.ndarray:
     return out
 
 
-def track(df: DataFrame, seconds: float = 0.1, normalised: bool = True) -> DataFrame:
+def track(df: DataFrame, seconds: float = 0.1, normalised: bool = True, is_mono: bool = False) -> DataFrame:
     """path, chunk, at_seconds (its middle), hz (0 if unvoiced), rms, total_seconds: chunks of the channels' sum, scaled to peak 1 if normalised."""
-    m, path = O.mono(df), W.partitionBy("path")
+    m, path = df if is_mono else O.mono(df), W.partitionBy("path")
     if normalised:
         m = m.withColumn("value", F.col("value") / F.coalesce(F.nullif(F.max(F.abs("value")).over(path), F.lit(0.0)), F.lit(1.0)))
     each = F.greatest(F.lit(1), (F.col("sample_rate") * seconds).cast("bigint"))
@@ -87,41 +89,54 @@ def track(df: DataFrame, seconds: float = 0.1, normalised: bool = True) -> DataF
 def best_chunk(chunks: DataFrame, *keys: str) -> DataFrame:
     """keys, hz of the chunk on which most voiced chunks of chunks(keys, chunk, hz, rms) agree, louder ones counting more; null if it is unvoiced.
 
-    Only chunks whose pitches are near meet, by buckets of pitch; of equal ones the first counts.
+    A signal's chunks are one list, in the order of their numbers; of equal ones the first counts.
     """
-    bucket = F.floor(F.col("hz") / BUCKET_HZ)
-    others = chunks.filter("hz > 0").select(*keys, F.col("hz").alias("other"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    # Equal pitches are counted together.
-    others = others.groupBy(*keys, "bucket", "other").agg(F.count(F.lit(1)).alias("times"))
-    delta = F.col("other") - F.col("hz")
-    agreed = F.sum(F.col("times") * HEIGHT * F.exp(-delta * delta / (2 * WIDTH_HZ**2)))
-    met = chunks.withColumn("bucket", bucket).join(others, [*keys, "bucket"], "left").groupBy(*keys, "chunk", "hz", "rms").agg(F.coalesce(agreed, F.lit(0.0)).alias("agreed"))
-    signal = W.partitionBy(*keys)
-    low, high = F.min("rms").over(signal), F.max("rms").over(signal)
-    loud = F.when(high > low, 1 + LOUD * F.sin((F.col("rms") - low) / (high - low) * (math.pi / 2))).otherwise(F.lit(1.0))
-    return met.withColumn("weight", F.col("agreed") * loud).groupBy(*keys).agg(F.nullif(F.max_by("hz", F.struct("weight", -F.col("chunk"))), F.lit(0.0)).alias("hz"))
+    lists = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "hz", "rms"))).alias("all"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [agreed_pitch(*(x.values.field(c).to_numpy(zero_copy_only=False) for c in ("hz", "rms"))) for x in batch.column("all")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.float64())], [*keys, "hz"])
+
+    return lists.mapInArrow(best, T.StructType([*(lists.schema[k] for k in keys), T.StructField("hz", T.DoubleType())]))
+
+
+def agreed_pitch(hz: np.ndarray, rms: np.ndarray) -> float | None:
+    """The pitch of the chunk of greatest weight. Only pitches near each other are compared; equal ones are counted together."""
+    pitches, times = np.unique(hz[hz > 0], return_counts=True)
+    agreed = np.zeros(len(hz))
+    low, high = np.searchsorted(pitches, hz - 2 * BUCKET_HZ), np.searchsorted(pitches, hz + 2 * BUCKET_HZ, side="right")
+    for k in np.flatnonzero(high > low):
+        delta = pitches[low[k] : high[k]] - hz[k]
+        agreed[k] = (times[low[k] : high[k]] * HEIGHT * np.exp(-delta * delta / (2 * WIDTH_HZ**2))).sum()
+    least, most = rms.min(), rms.max()
+    loud = 1 + LOUD * np.sin((rms - least) / (most - least) * (math.pi / 2)) if most > least else 1.0
+    return float(hz[np.argmax(agreed * loud)]) or None
 
 
 def octave_vote(found: DataFrame) -> DataFrame:
     """path, hz, confidence from found(path, cents, hz), the pitches of a signal shifted by cents: the one that most others agree with, shifted back.
 
-    Null where the first of the best has no pitch.
+    Null where the first of the best has no pitch. A signal's shifts are one list of a few.
     """
-    other = found.filter("hz IS NOT NULL").select("path", F.col("cents").alias("c2"), F.col("hz").alias("h2"))
-    agree = F.abs(F.col("hz") * F.pow(F.lit(2.0), (F.col("c2") - F.col("cents")) / 1200) - F.col("h2")) < AGREE_HZ
-    votes = found.join(other, "path", "left").groupBy("path", "cents", "hz").agg(F.count_if(F.col("hz").isNotNull() & agree).alias("votes"))
-    best = votes.groupBy("path").agg(F.max_by(F.struct("cents", "hz", "votes"), F.struct("votes", -F.col("cents"))).alias("b"))
+    lists = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("cents", "hz"))).alias("all"))
+    back = lambda a, b: a["hz"] * F.pow(F.lit(2.0), (b["cents"] - a["cents"]) / 1200)
+    agree = lambda a: F.size(F.filter("all", lambda b: a["hz"].isNotNull() & b["hz"].isNotNull() & (F.abs(back(a, b) - b["hz"]) < AGREE_HZ)))
+    votes = F.transform("all", lambda a: F.struct(agree(a).alias("votes"), (-a["cents"]).alias("less"), a["hz"].alias("hz")))
+    best = lists.select("path", F.array_max(votes).alias("b"))
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("b.votes") - 1) / (len(OCTAVES) - 1)))
-    return best.select("path", (F.col("b.hz") * F.pow(F.lit(2.0), -F.col("b.cents") / 1200)).alias("hz"), F.when(F.col("b.hz").isNotNull(), sure).alias("confidence"))
+    return best.select("path", (F.col("b.hz") * F.pow(F.lit(2.0), F.col("b.less") / 1200)).alias("hz"), F.when(F.col("b.hz").isNotNull(), sure).alias("confidence"))
 
 
 def detected(df: DataFrame) -> DataFrame:
-    """path, hz, confidence (0 to 1) of each signal; null where no pitch is found."""
-    shifted = [track(O.tuned(df, cents)).withColumn("cents", F.lit(cents)) for cents in OCTAVES]
-    every = shifted[0]
-    for more in shifted[1:]:
-        every = every.unionByName(more)
-    return octave_vote(best_chunk(every, "path", "cents"))
+    """path, hz, confidence (0 to 1) of each signal; null where no pitch is found.
+
+    The channels are mixed once, and all shifts of all signals are resampled and tracked together; the shift by nothing is the mix.
+    """
+    shifts = O.mono(df).withColumn("cents", F.explode(F.array(*map(F.lit, OCTAVES)))).withColumn("path", F.struct("path", "cents"))
+    moved = blocks.resampled(shifts.filter("cents <> 0").withColumn("ratio", F.pow(F.lit(2.0), -F.col("cents") / 1200)))
+    every = track(moved.unionByName(shifts.filter("cents = 0").select(*O.SIGNAL)), is_mono=True)
+    return octave_vote(best_chunk(every.select("path.path", "path.cents", "chunk", "hz", "rms"), "path", "cents"))
 
 
 def tuning(pitch: DataFrame, expected: DataFrame | None = None) -> DataFrame:

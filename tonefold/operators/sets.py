@@ -103,9 +103,14 @@ def sets_without_authority(files: DataFrame, pattern: str, authority: str) -> Da
     return sample_sets(files, pattern, authority).filter("authority IS NULL").select("set_key").distinct()
 
 
-def key_ranges(files: DataFrame, folder: str = "folder", root: str = "root") -> DataFrame:
-    """files with low and high: the notes from 0 to 127 shared out between neighbouring roots of a folder."""
-    w = W.partitionBy(folder).orderBy(root)
+def _by_root(files: DataFrame, folder: str, root: str, *names: str) -> W:
+    """Files of a folder by root; equal roots by the first of names that files has, so that the order is one and the same in every run."""
+    return W.partitionBy(folder).orderBy(root, *[n for n in names if n in files.columns][:1])
+
+
+def key_ranges(files: DataFrame, folder: str = "folder", root: str = "root", name: str = "path") -> DataFrame:
+    """files with low and high: the notes from 0 to 127 shared out between neighbouring roots of a folder; of equal roots the greater name lies higher."""
+    w = _by_root(files, folder, root, name, "file")
     middle = lambda a, b: a + F.floor((b - a) / 2)
     before, after = F.lag(root).over(w), F.lead(root).over(w)
     low = F.coalesce(middle(before, F.col(root)) + 1, F.lit(0))
@@ -113,8 +118,8 @@ def key_ranges(files: DataFrame, folder: str = "folder", root: str = "root") ->
 
 
 def blend_plan(files: DataFrame, step: int, folder: str = "folder", root: str = "root", name: str = "file") -> DataFrame:
-    """For each two neighbouring roots of a folder the notes between them, `step` apart, with both files and their weights."""
-    w = W.partitionBy(folder).orderBy(root)
+    """For each two neighbouring roots of a folder the notes between them, `step` apart, with both files and their weights. Of equal roots, the least and the greatest name are neighbours of other roots."""
+    w = _by_root(files, folder, root, name)
     pairs = files.withColumns({"upper": F.lead(root).over(w), "upper_file": F.lead(name).over(w)}).filter(F.col(root) + step < F.col("upper"))
     notes = pairs.withColumn("note", F.explode(F.sequence(F.col(root) + step, F.col("upper") - 1, F.lit(step).cast("int"))))
     span = F.col("upper") - F.col(root)
@@ -199,9 +204,14 @@ def reversed_items(items: Column, num_frames: Column, lengths: bool = True) -> C
 
 
 def imported(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """files(path, metadata) with the metadata of entries(path, metadata, line): the last entry of a path counts (of one line number, the greatest), a single entry is for all."""
+    """files(path, metadata) with the metadata of entries(path, metadata, line): the last entry of a path counts (of one line number, the greatest).
+
+    Where there is one entry in all, it is for every file, whatever its path.
+    """
     last = entries.groupBy("path").agg(F.max_by("metadata", F.struct("line", "metadata")).alias("new"), F.lit(True).alias("found"))
-    return files.join(last, "path", "left").select("path", F.when(F.col("found"), F.col("new")).otherwise(F.col("metadata")).alias("metadata"))
+    alone = entries.agg(F.count(F.lit(1)).alias("n"), F.max_by("metadata", F.struct("line", "metadata")).alias("only"))
+    rows = files.join(last, "path", "left").crossJoin(F.broadcast(alone))
+    return rows.select("path", F.when(F.col("n") == 1, F.col("only")).when(F.col("found"), F.col("new")).otherwise(F.col("metadata")).alias("metadata"))
 
 
 def imported_for_all(files: DataFrame, entries: DataFrame) -> DataFrame:

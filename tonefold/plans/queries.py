@@ -97,6 +97,10 @@ def pointwise() -> None:
     trimmed = "SELECT e.path, frame - coalesce(greatest(0, a - 4), 0) AS frame, channel, round(value, 6) + 0.0 AS value FROM e JOIN {} k USING (path) WHERE frame >= coalesce(greatest(0, a - 4), 0) AND frame < coalesce(least(n, b + 5), n)"
     on_signals("trim_silence_abs", lambda df: samples(O.trim_silence(df, -12)), trimmed.format(n0.format(t=repr(10 ** (-12 / 20)), src="e")))
     on_signals("trim_silence_peak_rel", lambda df: samples(O.trim_silence(df, -2, True)), trimmed.format(n0.format(t=f"p * {10 ** (-2 / 20)!r}", src="(SELECT *, max(abs(value)) OVER (PARTITION BY path) AS p FROM e)")))
+    fours = lambda df: df.select("path").distinct().select("path", F.floor(F.col("path") / 4).alias("set_key"), (F.col("path") - F.col("path") % 4).alias("authority"))
+    ends = n0.format(t=repr(10 ** (-12 / 20)), src="e")
+    on_signals("trim_silence_sets", lambda df: samples(O.trim_silence(df, -12, sets=fours(df))), f""", q AS {ends}, r AS (SELECT path AS lead, coalesce(greatest(0, a - 4), 0) AS a, coalesce(least(n, b + 5), n) AS b FROM q)
+        SELECT path, frame - a AS frame, channel, round(value, 6) + 0.0 AS value FROM e JOIN r ON lead = path - path % 4 WHERE frame >= a AND frame < b""")
     cross = "(SELECT path, arg_min(frame, {'m': m, 'f': frame}) AS o FROM (SELECT path, frame, sum(abs(value)) AS m FROM e WHERE frame < 16 GROUP BY ALL) GROUP BY path)"
     on_signals("zcross_offset", lambda df: samples(O.zcross_offset(df, "16")), f"SELECT path, frame - o AS frame, channel, round(value, 6) + 0.0 AS value FROM e JOIN {cross} USING (path) WHERE frame >= o", 2)
     on_signals("zcross_append", lambda df: samples(O.zcross_offset(df, "16smp", True)), f"SELECT path, (frame - o + nf) % nf AS frame, channel, round(value, 6) + 0.0 AS value FROM e JOIN {cross} USING (path)", 2)
@@ -195,12 +199,12 @@ FILTERS = [
 
 def grouped() -> None:
     add("automap_ranges", lambda spark, d: G.key_ranges(V.roots(spark, d)).select("folder", "root", "low", "high"), f"""WITH {V.ROOTS_SQL} SELECT folder, root,
-        coalesce(lag(root) OVER w + (root - lag(root) OVER w) // 2 + 1, 0) AS low, coalesce(root + (lead(root) OVER w - root) // 2, 127) AS high FROM r WINDOW w AS (PARTITION BY folder ORDER BY root)""")
+        coalesce(lag(root) OVER w + (root - lag(root) OVER w) // 2 + 1, 0) AS low, coalesce(root + (lead(root) OVER w - root) // 2, 127) AS high FROM r WINDOW w AS (PARTITION BY folder ORDER BY root, file)""")
     add("blend_plan", lambda spark, d: G.blend_plan(V.roots(spark, d), 1).select("folder", "lower", "upper", "note", r6("lower_weight").alias("lower_weight"), r6("upper_weight").alias("upper_weight")),
-        f"""WITH {V.ROOTS_SQL}, p AS (SELECT folder, root AS lower, lead(root) OVER (PARTITION BY folder ORDER BY root) AS upper FROM r), n AS (SELECT *, unnest(range(lower + 1, upper)) AS note FROM p WHERE lower + 1 < upper)
+        f"""WITH {V.ROOTS_SQL}, p AS (SELECT folder, root AS lower, lead(root) OVER (PARTITION BY folder ORDER BY root, file) AS upper FROM r), n AS (SELECT *, unnest(range(lower + 1, upper)) AS note FROM p WHERE lower + 1 < upper)
         SELECT *, round(1 - (note - lower) / (upper - lower)::DOUBLE, 6) + 0.0 AS lower_weight, round(1 - (upper - note) / (upper - lower)::DOUBLE, 6) + 0.0 AS upper_weight FROM n""")
     add("blend_pairs", lambda spark, d: G.blend_plan(V.roots(spark, d), 1).select("folder", "lower_file", "upper_file").distinct(),
-        f"WITH {V.ROOTS_SQL} SELECT folder, file AS lower_file, f2 AS upper_file FROM (SELECT *, lead(root) OVER w AS r2, lead(file) OVER w AS f2 FROM r WINDOW w AS (PARTITION BY folder ORDER BY root)) WHERE root + 1 < r2")
+        f"WITH {V.ROOTS_SQL} SELECT folder, file AS lower_file, f2 AS upper_file FROM (SELECT *, lead(root) OVER w AS r2, lead(file) OVER w AS f2 FROM r WINDOW w AS (PARTITION BY folder ORDER BY root, file)) WHERE root + 1 < r2")
     add("sample_sets_apply", lambda spark, d: G.sample_sets(V.takes(spark, d), "men-take[0-9]+-([a-z]+)", "en").filter("authority IS NOT NULL").select("path", "set_key", "authority"),
         f"WITH {V.TAKES_SQL} SELECT t.path, t.set_key, a.path AS authority FROM t JOIN (SELECT set_key, min(path) AS path FROM t WHERE lang = 'en' GROUP BY set_key) a ON a.set_key = t.set_key")
     add("authority_file", lambda spark, d: G.sample_sets(V.takes(spark, d), "(.*)", "men-take1-en").select("path", "set_key", "authority"),

@@ -50,7 +50,7 @@ ORDERS_SQL = f"""{V.LINES_SQL}, l AS (SELECT l_orderkey, CASE WHEN k % 2 = 0 THE
 
 def names() -> None:
     add("automap_rename", lambda spark, d: N.renamed(tones(spark, d), N.AutoMap("([a-z]+)-([0-9]+)-v([0-9]+)", 2, "<1>_<lo>_<root>_<hi>_<3>")).select("path", "new_path"), f"""WITH {TONES_SQL},
-        w AS (SELECT *, lag(p_size) OVER w AS before, lead(p_size) OVER w AS after FROM t WINDOW w AS (PARTITION BY folder ORDER BY p_size, p_partkey))
+        w AS (SELECT *, lag(p_size) OVER w AS before, lead(p_size) OVER w AS after FROM t WINDOW w AS (PARTITION BY folder ORDER BY p_size, path))
         SELECT path, folder || '/tone_' || coalesce(before + (p_size - before) // 2 + 1, 0) || '_' || p_size || '_' || coalesce(p_size + (after - p_size) // 2, 127) || '_' || p_partkey || '.wav' AS new_path FROM w""")
     add("automap_problems", lambda spark, d: N.unmappable(tones(spark, d), N.AutoMap("([a-z]+)-([0-9]+)-v([0-9]+)", 3, "<3>")), f"WITH {TONES_SQL} SELECT path, 'no root note from 0 to 127' AS problem FROM t WHERE p_partkey > 127")
     hz = lambda: (F.col("doc_id") % 900 + 60).cast("double").alias("hz")
@@ -61,8 +61,8 @@ def names() -> None:
         SELECT path, folder || '/' || replace(replace(lower(folder), ' ', '_'), '-', '_') || '_' || name || '_' || (p.note + 12) || '_' || CASE WHEN p.note % 12 < 6 THEN 60 + p.note % 12 ELSE 48 + p.note % 12 END || '_' || round_even(pitch, 0)::INT || '_' || n || '_'
             || CASE WHEN n < 17576 THEN chr((97 + n // 676)::INT) || chr((97 + n // 26 % 26)::INT) || chr((97 + n % 26)::INT) ELSE n::VARCHAR END || '_' || stem || '.' || regexp_extract(path, '([a-z]*)$', 1) AS new_path
         FROM c JOIN p ON p.h = doc_id % 900 + 60 JOIN notes ON notes.note = p.note""")
-    add("rename_problems", lambda spark, d: N.problems_of(N.renamed(V.files(spark, d).filter("doc_id % 5 = 0"), prefix="<detected-note><nonsense>")), f"""WITH {V.FILES_SQL}
-        SELECT path, 'no value for <detected-note>' AS problem FROM f WHERE doc_id % 5 = 0""")
+    add("rename_problems", lambda spark, d: N.problems_of(N.renamed(V.files(spark, d), prefix="<detected-note><nonsense>")), f"""WITH {V.FILES_SQL}
+        SELECT path, 'no value for <detected-note>' AS problem FROM f""")
     add("rename_order", lambda spark, d: N.renamed(V.files(spark, d), regex=("([a-z]+)-([0-9]*)7", "<2>-<1>"), prefix="c4-", suffix=".take", notes=True).select("path", "name", "new_path"), f"""WITH {V.FILES_SQL},
         n AS (SELECT *, '60-' || CASE WHEN doc_id % 10 = 7 THEN left(doc_id::VARCHAR, length(doc_id::VARCHAR) - 1) || '-' || lang ELSE stem END AS m FROM f)
         SELECT path, m || '.take' AS name, folder || '/' || m || '.' || regexp_extract(path, '([a-z]*)$', 1) AS new_path FROM n""")
@@ -83,9 +83,9 @@ def records() -> None:
         f"WITH {ORDERS_SQL} SELECT path, a::INT AS root, 127 AS high_note, (SELECT count(*) FROM l WHERE l_orderkey = path)::INT AS loops FROM f")
     add("sampler_velocity", lambda spark, d: sampler(M.embed_velocity_range(orders(spark, d), "s_[0-9]+_([0-9]+)", "unchanged"), "low_velocity", "high_velocity", "low_note"), f"WITH {ORDERS_SQL} SELECT path, b::INT AS low_velocity, 127 AS high_velocity, 0 AS low_note FROM f")
     add("sampler_note_range", lambda spark, d: sampler(M.embed_note_range(orders(spark, d), "12", "s_([0-9]+)_.*"), "low_note", "high_note"), f"WITH {ORDERS_SQL} SELECT path, 12 AS low_note, a::INT AS high_note FROM f")
-    brands = lambda spark, d: V.roots(spark, d).select(F.concat("folder", F.lit("/"), F.col("file").cast("string")).alias("path"), "folder", F.lit("x").alias("stem"), M.with_sampler(F.lit(None).cast(M.METADATA), F.col("root")).alias("metadata"))
-    add("sampler_automap", lambda spark, d: sampler(M.embed_mapped_ranges(brands(spark, d)), "low_note", "high_note"), f"""WITH {V.ROOTS_SQL} SELECT folder || '/' || file AS path,
-        coalesce(lag(root) OVER w + (root - lag(root) OVER w) // 2 + 1, 0)::INT AS low_note, coalesce(root + (lead(root) OVER w - root) // 2, 127)::INT AS high_note FROM r WINDOW w AS (PARTITION BY folder ORDER BY root)""")
+    brands = lambda spark, d: V.roots(spark, d).select(F.concat("folder", F.lit("/"), F.lpad(F.col("file").cast("string"), 10, "0")).alias("path"), "folder", F.lit("x").alias("stem"), M.with_sampler(F.lit(None).cast(M.METADATA), F.col("root")).alias("metadata"))
+    add("sampler_automap", lambda spark, d: sampler(M.embed_mapped_ranges(brands(spark, d)), "low_note", "high_note"), f"""WITH {V.ROOTS_SQL} SELECT folder || '/' || lpad(file::VARCHAR, 10, '0') AS path,
+        coalesce(lag(root) OVER w + (root - lag(root) OVER w) // 2 + 1, 0)::INT AS low_note, coalesce(root + (lead(root) OVER w - root) // 2, 127)::INT AS high_note FROM r WINDOW w AS (PARTITION BY folder ORDER BY root, file)""")
     add("sampler_remove", lambda spark, d: M.without_sampler(orders(spark, d)).select("path", F.col("metadata.midi_mapping").isNull().alias("gone"), F.size("metadata.markers").alias("markers")),
         f"WITH {ORDERS_SQL} SELECT path, true AS gone, (SELECT count(*) FROM l WHERE l_orderkey = path)::INT AS markers FROM f")
     add("sampler_limits", lambda spark, d: orders(spark, d).select("path", M.within_limits(F.col("metadata"))["midi_mapping"]["root_midi_note"].alias("root")), f"WITH {ORDERS_SQL} SELECT path, CASE WHEN root IS NOT NULL THEN least(root, 127) END::INT AS root FROM f")

@@ -50,11 +50,11 @@ TAKES_SQL = """t AS (SELECT 'room' || doc_id || '/men-take' || k || '-' || lang
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as samples: brand as folder, size as root note."""
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("folder"), F.col("p_size").cast("long").alias("root")).agg(F.min("p_partkey").alias("file"))
+    """Every part as a sample: brand as folder, size as root note, which many share."""
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), F.col("p_size").cast("long").alias("root"), F.col("p_partkey").alias("file"))
 
 
-ROOTS_SQL = "r AS (SELECT p_brand AS folder, p_size::BIGINT AS root, min(p_partkey) AS file FROM part GROUP BY ALL)"
+ROOTS_SQL = "r AS (SELECT p_brand AS folder, p_size::BIGINT AS root, p_partkey AS file FROM part)"
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
