@@ -310,12 +310,21 @@ def edited_copies(images: DataFrame, image_id: str = "image_id", pixels: str = "
     return out.select("image_id", "n_points", component.alias("component_id"), (F.col("image_id").isNull() | (F.col("image_id") == component)).alias("kept"))
 
 
-#: Side of a drawn picture in tiles, side of a tile in pixels, and how far a tile's grey deviates from mid grey.
-TILES, TILE, CONTRAST = 14, 5, 48
+#: Side of a drawn picture, and how far its greys deviate from mid grey.
+SIDE_PIXELS, CONTRAST = 56, 45
+
+
+def fields(n: int) -> np.ndarray:
+    """n fixed random pictures, a row each: noise that is the mean of 3 by 3 pixels, twice, so that neighbours are alike and no patch comes again."""
+    x = np.random.default_rng(11).normal(size=(n, SIDE_PIXELS, SIDE_PIXELS))
+    for _ in range(2):
+        for axis in (1, 2):
+            x = (np.roll(x, 1, axis) + x + np.roll(x, -1, axis)) / 3
+    return (x / x.std()).reshape(n, -1)
 
 
 def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
-    """image_id, height, width, pixels: each vector as a picture of tiles; a tile's grey is the vector's share in a fixed random direction.
+    """image_id, height, width, pixels: each vector as a picture, the sum of fixed random pictures by its numbers.
 
     A vector of zeros (or of no number) is plain mid grey; a null has no picture. Values that are no numbers count as 0.
     """
@@ -327,9 +336,9 @@ def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
             values = np.zeros((n, max(1, sizes.max(initial=0))))
             values[np.repeat(np.arange(n), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(v.flatten().to_numpy(zero_copy_only=False), posinf=0, neginf=0)
             length = np.sqrt((values**2).sum(1, keepdims=True))
-            grey = values / np.where(length > 0, length, 1) @ np.random.default_rng(11).normal(size=(values.shape[1], TILES * TILES))
-            grey = np.clip(np.rint(128 + CONTRAST * grey), 0, 255).astype(np.uint8).reshape(n, TILES, TILES).repeat(TILE, 1).repeat(TILE, 2)
-            side = pa.array(np.full(n, TILES * TILE, np.int32), mask=v.is_null().to_numpy(zero_copy_only=False))
+            grey = values / np.where(length > 0, length, 1) @ fields(values.shape[1])
+            grey = np.clip(np.rint(128 + CONTRAST * grey), 0, 255).astype(np.uint8)
+            side = pa.array(np.full(n, SIDE_PIXELS, np.int32), mask=v.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), side, side, pa.array([x.tobytes() if ok else None for x, ok in zip(grey, v.is_valid().to_pylist())], pa.binary())], ["image_id", "height", "width", "pixels"])
 
     return rows.select(F.col(image_id).cast("long").alias("image_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(draw, "image_id long, height int, width int, pixels binary")
