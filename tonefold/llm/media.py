@@ -320,7 +320,8 @@ def fields(n: int) -> np.ndarray:
     for _ in range(2):
         for axis in (1, 2):
             x = (np.roll(x, 1, axis) + x + np.roll(x, -1, axis)) / 3
-    return (x / x.std()).reshape(n, -1)
+    # Both passes are 1, 2, 3, 2, 1 ninths along either axis, which leaves 19 / 81 of the deviation, whatever n is.
+    return (x * (81 / 19)).reshape(n, -1)
 
 
 def drawn(rows: DataFrame, image_id: str, vector: str) -> DataFrame:
