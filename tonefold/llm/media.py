@@ -6,13 +6,14 @@ five Hamming tables. A pair is a link if enough of its descriptions agree under
 scaling. Mirrored copies are not sought.
 
 Equal images are one class first. Classes are compared with a leader of their buckets and, as far
-as they still lie apart, in blocks of a bucket, so that a bucket is never expanded into pairs; only
-pairs of near descriptions leave a task, each from the first table that it meets in.
+as they still lie apart, in blocks of a bucket, so that a bucket is never expanded into pairs: only
+links leave a task (and pairs with an image of very many corners, which are compared apart).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,14 @@ KEY_BYTES, TABLES = 6, 5
 MATCH_BITS = 60
 #: Corners that must agree under one movement; how far off they may be at first (pixels and a part of the distance), and after the movement is fitted to them.
 LEAST_AGREEING, OFF_PIXELS, OFF_PART, FITTED_PIXELS = 8, 2.0, 0.2, 2.5
+#: An image of more descriptions does not bring the others where one of them meets another image's.
+CARRIED = 64
 #: Rounds in which classes meet a leader of their buckets, at most; a round without a link is the last.
 ROUNDS = 12
-#: Image bytes described together, and entries of a matrix.
-BLOCK, AT_ONCE = 1 << 20, 1 << 20
+#: Image bytes described together, entries of a matrix, and entries of those of several small images.
+BLOCK, AT_ONCE, TOGETHER = 1 << 20, 1 << 20, 1 << 16
+#: Pairs of descriptions looked at together.
+PAIRS = 1 << 16
 
 
 def _tests() -> np.ndarray:
@@ -224,37 +229,104 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "bits").mapInArrow(cut, "cid long, at int, key long")
 
 
+@lru_cache(64)
+def _each_two(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def _may_agree(bits: np.ndarray, start: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of images x, y: do LEAST_AGREEING of their descriptions match as agreeing() asks, whatever the movement?
+
+    Image k has the descriptions bits[start[k] : start[k] + size[k]].
+    """
+    out = np.zeros(len(x), bool)
+    order = np.argsort(np.maximum(size[x], size[y]), kind="stable")
+    order = order[np.minimum(size[x], size[y])[order] >= LEAST_AGREEING]
+    a = 0
+    while a < len(order):
+        # Pairs of about one size; the last of a run is its largest.
+        each = max(1, TOGETHER // int(max(size[x[order[a]]], size[y[order[a]]])) ** 2)
+        own = order[a : a + each]
+        most = int(max(size[x[own[-1]]], size[y[own[-1]]]))
+        own = own[: max(1, TOGETHER // most**2)]
+        a += len(own)
+        place = np.arange(most)
+        p, q = ((start[k][:, None] + place, place < size[k][:, None]) for k in (x[own], y[own]))
+        left, right = (bits[np.where(ok, at, 0)] for at, ok in (p, q))
+        differ = np.zeros((len(own), most, most), np.uint16)
+        for w in range(WORDS):
+            differ += np.bitwise_count(left[:, :, None, w] ^ right[:, None, :, w])
+        differ[~p[1]] = 1 << 10
+        differ.swapaxes(1, 2)[~q[1]] = 1 << 10
+        some = np.flatnonzero((differ.min(2) <= MATCH_BITS).sum(1) >= LEAST_AGREEING)
+        differ = differ[some]
+        best, back = differ.argmin(2), differ.argmin(1)
+        near = (differ.min(2) <= MATCH_BITS) & (np.take_along_axis(back, best, 1) == place)
+        out[own[some]] = near.sum(1) >= LEAST_AGREEING
+    return out
+
+
 def _open_pairs(members: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: classes of different components with two near descriptions in a bucket, each pair once."""
+    """a, b: classes of different components with two near descriptions in a bucket that link, each pair once.
+
+    Unrelated images share a near description by chance, in a number that grows with the square of theirs, so a
+    pair is compared where it meets: each member brings all descriptions of its image, if there are no more
+    than CARRIED. Pairs with an image of more pass, linked or not.
+    """
     m = members.join(nodes.select("cid", "comp"), "cid")
     open_ = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks")).filter("low <> high")
-    m = m.join(open_.select("key", "blocks"), "key").join(classes.select("cid", "bits"), "cid")
-    point = F.floor(F.col("at") / TABLES).cast("int") * WORDS + 1
-    m = m.withColumn("block", F.pmod(F.xxhash64("cid", "at"), F.col("blocks")).cast("int")).withColumn("own", F.slice("bits", point, WORDS))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", (F.col("at") % TABLES).alias("t"), "own")
+    m = m.join(open_.select("key", "blocks"), "key").join(classes.select("cid", "places", "bits"), "cid")
+    place, whole = F.floor(F.col("at") / TABLES).cast("int"), F.size("bits") <= CARRIED * WORDS
+    m = m.withColumn("block", F.pmod(F.xxhash64("cid", "at"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "comp", (F.col("at") % TABLES).alias("t"),
+        F.when(whole, place).otherwise(-1).alias("place"), F.when(whole, F.col("bits")).otherwise(F.slice("bits", place * WORDS + 1, WORDS)).alias("bits"),
+        F.when(whole, F.col("places")).otherwise(F.slice("places", place * 4 + 1, 4)).alias("places"),
+    )
 
     def near(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         starts = np.append(_group_starts(rows), rows.num_rows)
-        i, j, block, cid, comp, t = (rows.column(k).to_numpy() for k in range(1, 7))
-        bits = rows["own"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        for a, b in zip(starts[:-1], starts[1:]):
-            if i[a] == j[a]:
-                x, y = np.triu_indices(b - a, 1)
-            else:
-                x, y = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
-                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
-            x, y = x + a, y + a
+        i, j, block, cid, comp, t, place = (rows.column(k).to_numpy() for k in range(1, 8))
+        places = rows["places"].combine_chunks().flatten().to_numpy().reshape(-1, 4)
+        lists = rows["bits"].combine_chunks()
+        bits = lists.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        size = lists.value_lengths().to_numpy() // WORDS
+        start = np.cumsum(size) - size
+        own = bits[start + np.maximum(place, 0)]
+
+        def passing(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
             ok = comp[x] != comp[y]
             x, y = x[ok], y[ok]
-            other = bits[x] ^ bits[y]
+            other = own[x] ^ own[y]
             ok = np.bitwise_count(other).sum(1) <= MATCH_BITS
             cut = other.view(np.uint8).reshape(-1, 8 * WORDS)[:, : KEY_BYTES * TABLES].reshape(-1, TABLES, KEY_BYTES)
             ok &= ~(~cut.any(2) & (np.arange(TABLES) < t[x][:, None])).any(1)
-            if ok.any():
-                pairs = np.unique(np.sort(np.stack((cid[x[ok]], cid[y[ok]]), 1), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            x, y = x[ok], y[ok]
+            pairs, first = np.unique(np.sort(np.stack((cid[x], cid[y]), 1), 1), axis=0, return_index=True)
+            x, y = x[first], y[first]
+            x, y = np.where(cid[x] < cid[y], (x, y), (y, x))
+            ok = (place[x] < 0) | (place[y] < 0)
+            whole = np.flatnonzero(~ok)
+            whole = whole[_may_agree(bits, start, size, x[whole], y[whole])]
+            of = lambda k: (places[start[k] : start[k] + size[k]], bits[start[k] : start[k] + size[k]])
+            ok[whole] = [agreeing(*of(p), *of(q)) >= LEAST_AGREEING for p, q in zip(x[whole], y[whole])]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[ok, 0]), pa.array(pairs[ok, 1])], ["a", "b"])
+
+        found, n = [], 0
+        for a, b in zip(starts[:-1], starts[1:]):
+            if i[a] == j[a]:
+                x, y = _each_two(b - a)
+            else:
+                x, y = np.flatnonzero(block[a:b] == i[a]), np.flatnonzero(block[a:b] == j[a])
+                x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+            found.append((x + a, y + a))
+            n += len(x)
+            if n >= PAIRS:
+                yield passing(*map(np.concatenate, zip(*found)))
+                found, n = [], 0
+        if found:
+            yield passing(*map(np.concatenate, zip(*found)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
