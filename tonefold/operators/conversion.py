chain_saved: a set of files that were read is listed once, cut without joins, and its heads are read once by a save

Symptom: one save of an edited folder read all heads five times and all samples twice behind two joins of long rows, each a stage of 201 Python tasks.
Evidence: stages 412 to 416 on 51,282 files took 18 to 19 s of tasks each (three of them shown by the profiler); trimmed() parted the signals by a semi and an anti join with the heads although trim itself leaves alone what it wouldn't cut; plan and forms joined the files with themselves, and written and moved files each evaluated that; heads and samples listed the folder apart.
Fix: FileSet.read lists once for both scans; a set knows whether its signals are its files' own, and then gain, pan, trim and reverse run over all signals without parting them (other sets are parted as before); write_plan passes more columns on, so no self-join; a save that isn't one of copies keeps its plan in the checkpoint folder, from which written and moved files come.
Effect, together with 4 more commits on this code: at 1 GB of input CPU 1931 -> 1180 s, shuffle 0.68 -> 0.51 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 7 -> 8 s, most memory of a task 320 -> 109 MB; at 6 GB of input CPU 10591 -> 4619 s, shuffle 4.98 -> 3.41 GB, spill 0.00 -> 0.00 GB, read 1.00 -> 0.99 GB, longest task 47 -> 36 s, most memory of a task 1079 -> 707 MB; with hot keys, at 1 GB of input CPU 1383 -> 935 s, shuffle 0.33 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.10 GB, longest task 6 -> 5 s, most memory of a task 1009 -> 1009 MB.

@@ -42,8 +42,8 @@ def conversion(files: DataFrame, rate: int | None = None, depth: int | None = No
     return rows.withColumns(changed)
 
 
-def write_plan(files: DataFrame, copies: bool = False) -> DataFrame:
-    """path, new_path, action for files(path, new_path, data_changed, format_changed): what has to be done to each changed file.
+def write_plan(files: DataFrame, copies: bool = False, *more: str) -> DataFrame:
+    """path, new_path, action, and more columns of files, for files(path, new_path, data_changed, format_changed): what has to be done to each changed file.
 
     With copies (an output folder or file) originals stay: everything is created anew. Else a file of another
     format is created and the old one deleted, changed samples at another place too, a path alone is a move.
@@ -51,9 +51,9 @@ def write_plan(files: DataFrame, copies: bool = False) -> DataFrame:
     moved = F.col("path") != F.col("new_path")
     changed = F.col("data_changed") | F.col("format_changed")
     if copies:
-        return files.select("path", "new_path", F.lit("create").alias("action"))
+        return files.select("path", "new_path", F.lit("create").alias("action"), *more)
     action = F.when(changed & (moved | F.col("format_changed")), "create and delete").when(changed, "overwrite").when(moved, "move")
-    return files.select("path", "new_path", action.alias("action")).filter("action IS NOT NULL")
+    return files.select("path", "new_path", action.alias("action"), *more).filter("action IS NOT NULL")
 
 
 def edits(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
