@@ -23,8 +23,8 @@ from tonefold.operators.signals import in_rows  # noqa: F401  the form that is w
 
 FIELDS = fields("path string, sample_rate int, num_channels int, bits_per_sample int, num_frames bigint")
 READ = T.StructType([*FIELDS, T.StructField("metadata", METADATA), T.StructField("info", T.MapType(T.StringType(), T.StringType())), T.StructField("problem", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType()))])
-#: Depths that a file can have, of which these are IEEE floats.
-DEPTHS, FLOATS = (8, 16, 24, 32, 64), (32, 64)
+#: Depths that a file can have, of which these are IEEE floats, and these are scaled down by a file's peak where it would clip.
+DEPTHS, FLOATS, SCALED = (8, 16, 24, 32, 64), (32, 64), (8, 16)
 #: Flags of the acid chunk, and loop types of the smpl chunk by the record's (forward, backward, ping-pong).
 ONE_SHOT, ROOT_SET = 1, 2
 SMPL_TYPES = (0, 2, 1)
@@ -78,7 +78,7 @@ def encoded(samples: np.ndarray, bits: int, peak: float | None = None) -> bytes:
     if bits in FLOATS:
         return samples.astype("<f4" if bits == 32 else "<f8").tobytes()
     peak = np.abs(samples).max(initial=0) if peak is None else peak
-    x = samples if bits == 24 or peak <= 1 else samples * (1 / peak)
+    x = samples if bits not in SCALED or peak <= 1 else samples * (1 / peak)
     if bits == 8:
         return ((x + 1) / 2 * 255).astype(np.uint8).tobytes()
     top = 2.0 ** (bits - 1)
